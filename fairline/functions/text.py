@@ -140,10 +140,7 @@ def season(col: Column) -> Column:
 
 def provider_token(col: Column) -> Column:
     """Lower case with dashes and blanks as single underscores; blank text is null."""
-    return F.when(
-        blank_to_null(col).isNotNull(),
-        F.btrim(F.regexp_replace(F.lower(strip(col)), "[-_ ]+", "_"), F.lit("_")),
-    )
+    return F.nullif(F.btrim(F.regexp_replace(F.lower(strip(col)), "[-_ ]+", "_"), F.lit("_")), F.lit(""))
 
 
 def alphanumeric_token(col: Column) -> Column:

@@ -173,22 +173,35 @@ def events(
     )
 
 
+def _clean_outcome(outcome: Column) -> Column:
+    """Every raw field parsed once; later steps only compare parsed values."""
+    return F.struct(
+        F.coalesce(blank_to_null(outcome["external_outcome_id"]), blank_to_null(outcome["id"])).alias("source_id"),
+        blank_to_null(outcome["type"]).alias("type"),
+        provider_token(outcome["type"]).alias("token"),
+        blank_to_null(outcome["player_name"]).alias("player"),
+        lenient_decimal(outcome["odds_decimal"]).alias("odds"),
+        lenient_decimal(outcome["handicap"]).alias("handicap"),
+        lenient_decimal(outcome["spread"]).alias("spread"),
+        lenient_decimal(outcome["total"]).alias("total"),
+        lenient_boolean(outcome["removed"], False).alias("removed"),
+    )
+
+
 def _selection(outcome: Column, removed: Column, generated_at: Column) -> Column:
-    odds = lenient_decimal(outcome["odds_decimal"])
-    available = ~removed & ~lenient_boolean(outcome["removed"], False) & F.coalesce(odds > 1, F.lit(False))
-    external, own = blank_to_null(outcome["external_outcome_id"]), blank_to_null(outcome["id"])
-    kind = blank_to_null(outcome["type"])
+    available = ~removed & ~outcome["removed"] & F.coalesce(outcome["odds"] > 1, F.lit(False))
     return F.struct(
-        F.coalesce(external, own).alias("source_id"),
-        F.coalesce(kind, blank_to_null(outcome["player_name"]), external, own).alias("label"),
-        kind.alias("selection_type"),
+        outcome["source_id"].alias("source_id"),
+        F.coalesce(outcome["type"], outcome["player"], outcome["source_id"]).alias("label"),
+        outcome["type"].alias("selection_type"),
         F.lit(None).cast("string").alias("participant_source_id"),
-        F.coalesce(*[lenient_decimal(outcome[f]) for f in ("handicap", "spread", "total")]).alias("line"),
+        F.coalesce(outcome["handicap"], outcome["spread"], outcome["total"]).alias("line"),
         F.struct(
-            F.when(available, odds).alias("decimal_odds"),
+            F.when(available, outcome["odds"]).alias("decimal_odds"),
             available.alias("is_available"),
             generated_at.alias("source_updated_at"),
         ).alias("price"),
+        outcome["token"].alias("token"),
     )
 
 
@@ -203,11 +216,9 @@ def market_meaning(name: Column, market_id: Column) -> Column:
 
 
 def _lines(outcomes: Column, types: list[str], field: str) -> Column:
-    """Distinct lines of the outcomes of the given types."""
-    chosen = F.filter(outcomes, lambda o: F.coalesce(provider_token(o["type"]).isin(types), F.lit(False)))
-    return F.array_distinct(
-        F.filter(F.transform(chosen, lambda o: lenient_decimal(o[field])), lambda v: v.isNotNull())
-    )
+    """Distinct lines of the cleaned outcomes of the given types."""
+    chosen = F.filter(outcomes, lambda o: o["token"].isin(types) & o[field].isNotNull())
+    return F.array_distinct(F.transform(chosen, lambda o: o[field]))
 
 
 def total_line(outcomes: Column) -> Column:
@@ -222,37 +233,41 @@ def spread_line(outcomes: Column) -> Column:
 
 
 def _carries_line(outcomes: Column) -> Column:
-    return F.exists(
-        outcomes,
-        lambda o: lenient_decimal(o["handicap"]).isNotNull()
-        | lenient_decimal(o["spread"]).isNotNull()
-        | lenient_decimal(o["total"]).isNotNull(),
-    )
+    return F.exists(outcomes, lambda o: F.coalesce(o["handicap"], o["spread"], o["total"]).isNotNull())
 
 
 def _meant_selection(selection: Column, outcomes: Column, market_type: Column) -> Column:
-    """Selection with its type limited to what the market allows and its line by market type."""
-    same_id = F.filter(
-        outcomes,
-        lambda o: F.coalesce(blank_to_null(o["external_outcome_id"]), blank_to_null(o["id"])) == selection["source_id"],
-    )
-    same_type = F.filter(outcomes, lambda o: provider_token(o["type"]) == provider_token(selection["selection_type"]))
-    unique_type = F.when(F.size(same_type) == 1, F.get(same_type, F.lit(0)))
-    raw = F.coalesce(F.get(same_id, F.lit(0)), unique_type)
-    kind = F.coalesce(provider_token(raw["type"]), provider_token(selection["selection_type"]))
+    """Selection with its type limited to what the market allows and its line by market type.
+
+    Its own outcome is found by source id, or by type where that type occurs once.
+    """
+    same_id = F.filter(outcomes, lambda o: o["source_id"] == selection["source_id"])
+    same_type = F.filter(outcomes, lambda o: o["token"] == selection["token"])
+    raw = F.coalesce(F.get(same_id, F.lit(0)), F.when(F.size(same_type) == 1, F.get(same_type, F.lit(0))))
+    found = F.struct(raw.isNotNull().alias("known"), raw["token"].alias("token"), raw["total"].alias("total"), raw["spread"].alias("spread"))
+    # One-element transform: the look-up is evaluated once and read by name below.
+    return F.get(F.transform(F.array(found), lambda r: _from_outcome(selection, r, market_type)), F.lit(0))
+
+
+def _from_outcome(selection: Column, raw: Column, market_type: Column) -> Column:
+    kind = F.coalesce(raw["token"], selection["token"])
     allowed = F.lit(False)
     for name, kinds in _ALLOWED.items():
         allowed = allowed | ((market_type == name) & F.coalesce(kind.isin(kinds), F.lit(False)))
     line = (
         F.when(market_type == "moneyline", F.lit(None).cast(PRICE))
-        .when(raw.isNull(), selection["line"])
-        .when(market_type == "total", lenient_decimal(raw["total"]))
-        .otherwise(lenient_decimal(raw["spread"]))
+        .when(~raw["known"], selection["line"])
+        .when(market_type == "total", raw["total"])
+        .otherwise(raw["spread"])
     )
+    return _selection_struct(selection, F.when(allowed, kind), line)
+
+
+def _selection_struct(selection: Column, kind: Column, line: Column) -> Column:
     return F.struct(
         selection["source_id"].alias("source_id"),
         selection["label"].alias("label"),
-        F.when(allowed, kind).alias("selection_type"),
+        kind.alias("selection_type"),
         selection["participant_source_id"].alias("participant_source_id"),
         line.alias("line"),
         selection["price"].alias("price"),
@@ -260,14 +275,7 @@ def _meant_selection(selection: Column, outcomes: Column, market_type: Column) -
 
 
 def _unmeant_selection(selection: Column) -> Column:
-    return F.struct(
-        selection["source_id"].alias("source_id"),
-        selection["label"].alias("label"),
-        F.lit(None).cast("string").alias("selection_type"),
-        selection["participant_source_id"].alias("participant_source_id"),
-        selection["line"].alias("line"),
-        selection["price"].alias("price"),
-    )
+    return _selection_struct(selection, F.lit(None).cast("string"), selection["line"])
 
 
 def markets(payloads: DataFrame, book: Book) -> DataFrame:
@@ -286,39 +294,41 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
     )
     chosen = F.get(F.filter("m.books", lambda b: book.matches(b)), F.lit(0))
     no_outcomes = F.array().cast(f"array<{_OUTCOME.lower()}>")
-    parsed = (
-        listed.withColumn("b", chosen)
-        .filter("b IS NOT NULL")
-        .withColumn("outcomes", F.coalesce(F.col("b.outcomes"), no_outcomes))
-        .withColumn("removed", lenient_boolean(F.col("b.removed"), False))
-        .withColumn(
-            "all_selections", F.transform("outcomes", lambda o: _selection(o, F.col("removed"), F.col("generated_at")))
-        )
-        .withColumn("selections", F.filter("all_selections", lambda s: s["label"].isNotNull()))
-        .withColumn("provider_id", blank_to_null(F.col("m.id")))
-        .withColumn("external_id", blank_to_null(F.col("b.external_market_id")))
-        .withColumn("source_id", F.coalesce("external_id", "provider_id"))
-        .filter("source_id IS NOT NULL AND (size(selections) > 0 OR removed)")
-        .withColumn("meaning", market_meaning(F.col("m.name"), F.col("m.id")))
-        .withColumn("type", F.substring_index("meaning", "/", 1))
-        .withColumn(
-            "market_line",
-            F.when(F.col("type") == "total", total_line(F.col("outcomes"))).when(
-                F.col("type") == "spread", spread_line(F.col("outcomes"))
-            ),
-        )
-        .withColumn(
-            "safe",
-            F.when(F.col("type") == "moneyline", ~_carries_line(F.col("outcomes"))).otherwise(
-                F.coalesce(F.col("market_line").isNotNull() & F.col("type").isNotNull(), F.lit(False))
-            ),
-        )
-        .withColumn("market_type", F.when(F.col("safe"), F.col("type")))
+    books = listed.withColumn("b", chosen).filter("b IS NOT NULL")
+    cleaned = books.select(
+        "event_source_id",
+        "generated_at",
+        "position",
+        "b",
+        blank_to_null(F.col("m.id")).alias("provider_id"),
+        blank_to_null(F.col("m.name")).alias("name"),
+        blank_to_null(F.col("b.external_market_id")).alias("external_id"),
+        lenient_boolean(F.col("b.removed"), False).alias("removed"),
+        F.transform(F.coalesce(F.col("b.outcomes"), no_outcomes), _clean_outcome).alias("outcomes"),
+        market_meaning(F.col("m.name"), F.col("m.id")).alias("meaning"),
     )
+    measured = cleaned.select(
+        "*",
+        F.coalesce("external_id", "provider_id").alias("source_id"),
+        F.filter(
+            F.transform("outcomes", lambda o: _selection(o, F.col("removed"), F.col("generated_at"))),
+            lambda s: s["label"].isNotNull(),
+        ).alias("selections"),
+        F.substring_index("meaning", "/", 1).alias("type"),
+        F.struct(
+            _carries_line(F.col("outcomes")).alias("any"),
+            total_line(F.col("outcomes")).alias("total"),
+            spread_line(F.col("outcomes")).alias("spread"),
+        ).alias("lines"),
+    ).filter("source_id IS NOT NULL AND (size(selections) > 0 OR removed)")
+    line = F.when(F.col("type") == "total", F.col("lines.total")).when(F.col("type") == "spread", F.col("lines.spread"))
+    safe = F.when(F.col("type") == "moneyline", ~F.col("lines.any")).otherwise(line.isNotNull())
+    judged = measured.select("*", line.alias("market_line"), F.coalesce(safe, F.lit(False)).alias("safe"))
+    parsed = judged.withColumn("market_type", F.when(F.col("safe"), F.col("type")))
     return parsed.select(
         "source_id",
         "event_source_id",
-        blank_to_null(F.col("m.name")).alias("name"),
+        "name",
         "market_type",
         F.when(F.col("safe"), F.substring_index("meaning", "/", -1)).alias("period"),
         F.lit(None).cast("string").alias("scope"),
@@ -338,7 +348,7 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
             provider_market_id=F.col("provider_id"),
             external_market_id=F.col("external_id"),
             external_event_id=blank_to_null(F.col("b.external_sport_event_id")),
-            skipped_outcomes=F.size("all_selections") - F.size("selections"),
+            skipped_outcomes=F.size("outcomes") - F.size("selections"),
         ).alias("metadata"),
         "position",
     )

@@ -24,7 +24,9 @@ _PARTICIPANT_TYPES = ["team", "player", "pair", "other"]
 
 _ASCII_ONLY = r"\A[\x00-\x7F]*\z"
 _ASCII_SEPARATORS = r"[\p{Punct}\s\x1C-\x1F]+"
-_EDGE_SPACE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+
+# The characters str.strip() removes.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 class _Separators(dict):
@@ -84,7 +86,7 @@ def is_ascii(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, _EDGE_SPACE, "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def blank_to_null(col: Column) -> Column:

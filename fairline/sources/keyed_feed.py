@@ -14,7 +14,7 @@ from fairline.functions.scalars import (
     lenient_integer,
 )
 from fairline.functions.text import alphanumeric_token, blank_to_null
-from fairline.sources.payloads import lookup, parsed_list, parsed_object, required, text_map
+from fairline.sources.payloads import lookup, once, parsed_list, parsed_object, required, text_map
 
 PROVIDER = "oddspapi"
 
@@ -85,7 +85,7 @@ def events(
     payloads: DataFrame, slug: str, since: Column | None = None, sport_source_id: str | None = None
 ) -> DataFrame:
     """SourceEvent rows: pregame fixtures of the book with two identified participants."""
-    rows = parsed_list(payloads, _FIXTURE, "fixtures").withColumn("meta", _book_meta(F.col("item"), slug))
+    rows = parsed_list(payloads, _FIXTURE, "fixtures").withColumn("meta", once(_book_meta(F.col("item"), slug)))
     f = F.col("item")
 
     def person(position: int) -> Column:
@@ -110,7 +110,7 @@ def events(
         .withColumn("sport_source_id", lenient_integer(f["sport"]["sportId"]).cast("string"))
         .withColumn("competition_source_id", lenient_integer(f["tournament"]["tournamentId"]).cast("string"))
         .withColumn("tournament_name", blank_to_null(f["tournament"]["tournamentName"]))
-        .withColumn("participants", F.filter(F.array(person(1), person(2)), lambda p: p["source_id"].isNotNull()))
+        .withColumn("participants", once(F.filter(F.array(person(1), person(2)), lambda p: p["source_id"].isNotNull())))
         .filter(
             "source_id IS NOT NULL AND start_time IS NOT NULL AND sport_source_id IS NOT NULL "
             "AND competition_source_id IS NOT NULL AND tournament_name IS NOT NULL AND size(participants) = 2"
@@ -196,10 +196,10 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
         event_id = fixture
     fixtures = (
         rows.withColumn("event_source_id", event_id)
-        .withColumn("meta", _book_meta(F.col("root"), slug))
+        .withColumn("meta", once(_book_meta(F.col("root"), slug)))
         .filter(_is_pregame(F.col("root")) & F.col("meta").isNotNull())
         .withColumn("suspended", required(F.col("meta.suspended"), "book suspended flag"))
-        .withColumn("book_odds", F.try_element_at(required(F.col("root.odds"), "odds"), F.lit(slug)))
+        .withColumn("book_odds", once(F.try_element_at(required(F.col("root.odds"), "odds"), F.lit(slug))))
         .filter("book_odds IS NOT NULL")
     )
     entries = F.map_entries("book_odds")
@@ -213,7 +213,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
             F.lit(False),
         )
 
-    kept = fixtures.withColumn("kept", F.filter(entries, usable)).withColumn(
+    kept = fixtures.withColumn("kept", once(F.filter(entries, usable))).withColumn(
         "skipped", F.size("book_odds") - F.size("kept")
     )
     root = F.col("root")
@@ -285,7 +285,7 @@ def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str)
             ).alias("price"),
         )
 
-    built = joined.withColumn("selections", F.transform("quotes", selection))
+    built = joined.withColumn("selections", once(F.transform("quotes", selection)))
     return built.select(
         F.col("source_market_id").alias("source_id"),
         "event_source_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions.scalars import PRICE, aware_timestamp, lenient_boolean, lenient_decimal
 from fairline.functions.text import blank_to_null, id_suffix, numeric_id_suffix, provider_token
-from fairline.sources.payloads import lookup, parsed_object, required, text_map
+from fairline.sources.payloads import lookup, once, parsed_object, required, text_map
 
 _NAMED = "STRUCT<id:STRING,name:STRING>"
 _EVENT = (
@@ -139,9 +139,9 @@ def events(
     names = F.filter(F.transform("participants", lambda p: p["participant"]["name"]), lambda n: n.isNotNull())
     out = (
         wrapped.withColumn("e", F.coalesce(F.col("w.sport_event"), bare))
-        .withColumn("participants", people)
+        .withColumn("participants", once(people))
         .withColumn("source_id", blank_to_null(e["id"]))
-        .withColumn("start_time", F.coalesce(aware_timestamp(e["start_time"]), aware_timestamp(e["scheduled"])))
+        .withColumn("start_time", once(F.coalesce(aware_timestamp(e["start_time"]), aware_timestamp(e["scheduled"]))))
         .withColumn("sport_source_id", F.coalesce(blank_to_null(sport["id"]), F.lit(sport_source_id).cast("string")))
         .withColumn("c", competition)
         .withColumn("competition_source_id", F.coalesce(F.col("c.id"), F.lit(competition_source_id).cast("string")))
@@ -294,7 +294,7 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
     )
     chosen = F.get(F.filter("m.books", lambda b: book.matches(b)), F.lit(0))
     no_outcomes = F.array().cast(f"array<{_OUTCOME.lower()}>")
-    books = listed.withColumn("b", chosen).filter("b IS NOT NULL")
+    books = listed.withColumn("b", once(chosen)).filter("b IS NOT NULL")
     cleaned = books.select(
         "event_source_id",
         "generated_at",
@@ -304,21 +304,25 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
         blank_to_null(F.col("m.name")).alias("name"),
         blank_to_null(F.col("b.external_market_id")).alias("external_id"),
         lenient_boolean(F.col("b.removed"), False).alias("removed"),
-        F.transform(F.coalesce(F.col("b.outcomes"), no_outcomes), _clean_outcome).alias("outcomes"),
-        market_meaning(F.col("m.name"), F.col("m.id")).alias("meaning"),
+        once(F.transform(F.coalesce(F.col("b.outcomes"), no_outcomes), _clean_outcome)).alias("outcomes"),
+        once(market_meaning(F.col("m.name"), F.col("m.id"))).alias("meaning"),
     )
     measured = cleaned.select(
         "*",
         F.coalesce("external_id", "provider_id").alias("source_id"),
-        F.filter(
-            F.transform("outcomes", lambda o: _selection(o, F.col("removed"), F.col("generated_at"))),
-            lambda s: s["label"].isNotNull(),
+        once(
+            F.filter(
+                F.transform("outcomes", lambda o: _selection(o, F.col("removed"), F.col("generated_at"))),
+                lambda s: s["label"].isNotNull(),
+            )
         ).alias("selections"),
         F.substring_index("meaning", "/", 1).alias("type"),
-        F.struct(
-            _carries_line(F.col("outcomes")).alias("any"),
-            total_line(F.col("outcomes")).alias("total"),
-            spread_line(F.col("outcomes")).alias("spread"),
+        once(
+            F.struct(
+                _carries_line(F.col("outcomes")).alias("any"),
+                total_line(F.col("outcomes")).alias("total"),
+                spread_line(F.col("outcomes")).alias("spread"),
+            )
         ).alias("lines"),
     ).filter("source_id IS NOT NULL AND (size(selections) > 0 OR removed)")
     line = F.when(F.col("type") == "total", F.col("lines.total")).when(F.col("type") == "spread", F.col("lines.spread"))
@@ -334,12 +338,12 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
         F.lit(None).cast("string").alias("scope"),
         F.when(F.col("safe"), F.col("market_line")).cast(PRICE).alias("line"),
         F.when(F.col("removed"), "suspended").otherwise("open").alias("status"),
-        F.when(
-            F.col("safe"),
-            F.transform("selections", lambda s: _meant_selection(s, F.col("outcomes"), F.col("market_type"))),
-        )
-        .otherwise(F.transform("selections", _unmeant_selection))
-        .alias("selections"),
+        once(
+            F.when(
+                F.col("safe"),
+                F.transform("selections", lambda s: _meant_selection(s, F.col("outcomes"), F.col("market_type"))),
+            ).otherwise(F.transform("selections", _unmeant_selection))
+        ).alias("selections"),
         F.col("generated_at").alias("source_updated_at"),
         text_map(
             provider=F.lit(book.provider),

@@ -44,7 +44,11 @@ QUOTE_SERIES = ["event_id", "selection_type", "bookmaker"]
 
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """events as price ticks; prices are coarse, so some repeat."""
-    return table(spark, folder, "events").select(
+    return as_ticks(table(spark, folder, "events"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("book-"), (F.col("user_id") % 5).cast("string")).alias("bookmaker"),
         F.concat_ws("-", "event_type", (F.col("user_id") % 11).cast("string")).alias("selection_id"),
         F.expr(

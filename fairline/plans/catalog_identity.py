@@ -9,6 +9,7 @@ from fairline.functions import keys, text
 from fairline.functions.scalars import sport_code
 from fairline.operators import event_matching, merge
 from fairline.operators.matching import match_names
+from fairline.operators.remediate import remap
 from fairline.operators.name_join import distinct_names, similar_names
 from fairline.operators.resolve import resolve_names
 from fairline.operators.rules import COMPETITION, PARTICIPANT, prepared_sources
@@ -404,6 +405,33 @@ def mapping_upsert(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def manual_remap(spark: SparkSession, folder: str) -> DataFrame:
+    """Mappings after a reviewer moved every supplier with a negative balance to its nation's entity."""
+    at = F.lit("1990-01-01").cast("timestamp")
+    known = views.table(spark, folder, "supplier").select(
+        F.lit("book-0").alias("bookmaker_id"), F.lit("participant").alias("entity_type"),
+        F.col("s_suppkey").cast("string").alias("source_id"), F.concat(F.lit("c"), "s_suppkey").alias("canonical_id"),
+        F.col("s_name").alias("source_name"), F.col("s_acctbal"), F.col("s_nationkey"),
+    )
+    orders = known.filter("s_acctbal < 0").select(
+        "bookmaker_id", "entity_type", "source_id", F.concat(F.lit("n"), "s_nationkey").alias("canonical_id"), F.lit("review").alias("note")
+    )
+    moved, decisions = remap(merge.mapping_rows(known, at), orders, F.lit("2026-01-01").cast("timestamp"))
+    judged = decisions.select("source_id", "state", "reason_code", "decision_key")
+    return moved.join(judged, "source_id", "left").select(
+        "source_id", "canonical_id", F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen_at"), "state", "reason_code", "decision_key"
+    )
+
+
+_REMAP_SQL = """
+  SELECT CAST(s_suppkey AS VARCHAR) AS source_id, CASE WHEN moved THEN concat('n', s_nationkey) ELSE concat('c', s_suppkey) END AS canonical_id,
+    CASE WHEN moved THEN TIMESTAMP '2026-01-01' ELSE TIMESTAMP '1990-01-01' END AS last_seen_at, CASE WHEN moved THEN 'matched' END AS state,
+    CASE WHEN moved THEN 'manual_remap' END AS reason_code,
+    CASE WHEN moved THEN sha256(concat('book-0|participant|', s_suppkey, '|', sha256(concat('n', s_nationkey, '|review')), '|manual-v1')) END AS decision_key
+  FROM (SELECT *, s_acctbal < 0 AS moved FROM supplier)
+"""
+
+
 def alias_learning(spark: SparkSession, folder: str) -> DataFrame:
     """Alias rows learned from every matched source."""
     entities = views.participant_entities(spark, folder)
@@ -529,6 +557,7 @@ QUERIES = {
             FROM ({_PARTICIPANT_SQL}) p JOIN ({PARTICIPANT_SOURCES_SQL}) s ON s.source_id = p.source_id WHERE p.state = 'matched')
           GROUP BY 1, 2)""",
     ),
+    "manual_remap": (manual_remap, _REMAP_SQL),
     "decision_replay": (decision_replay, _REPLAY_SQL),
     "participant_resolution": (participant_resolution, None),
     "review_queue": (review_queue, _QUEUE_SQL),

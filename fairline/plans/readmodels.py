@@ -8,6 +8,45 @@ from pyspark.sql import functions as F
 PPM = 1_000_000
 
 
+def quote_history(
+    quotes: DataFrame,
+    selections: DataFrame,
+    markets: DataFrame,
+    event_id: str | None = None,
+    market_id: str | None = None,
+    selection_id: str | None = None,
+    bookmaker_id: str | None = None,
+    start: Column | None = None,
+    end: Column | None = None,
+) -> DataFrame:
+    """Stored quotes with their market and selection, bounded by any of the arguments.
+
+    A time bound also bounds the ``day`` directories, so only those are read.
+    """
+    rows = quotes
+    if start is not None:
+        rows = rows.filter(F.col("observed_at") >= start)
+    if end is not None:
+        rows = rows.filter(F.col("observed_at") < end)
+    if "day" in quotes.columns:
+        if start is not None:
+            rows = rows.filter(F.col("day") >= F.to_date(start))
+        if end is not None:
+            rows = rows.filter(F.col("day") <= F.to_date(end))
+        rows = rows.drop("day")
+    if bookmaker_id is not None:
+        rows = rows.filter(F.col("bookmaker_id") == bookmaker_id)
+    if selection_id is not None:
+        rows = rows.filter(F.col("selection_id") == selection_id)
+    sides = selections.select(F.col("id").alias("selection_id"), "market_id", "selection_type", "participant_id")
+    parents = markets.select(F.col("id").alias("market_id"), "event_id", "market_type", "period", "line")
+    if market_id is not None:
+        sides = sides.filter(F.col("market_id") == market_id)
+    if event_id is not None:
+        parents = parents.filter(F.col("event_id") == event_id)
+    return rows.join(sides, "selection_id").join(parents, "market_id")
+
+
 def best_prices(latest: DataFrame, event: list[str], outcome: str) -> DataFrame:
     """Best available price, its book (smallest code on ties), price spread and book count."""
     best = F.min(F.struct((-F.col("decimal_odds")).alias("cost"), "bookmaker"))

@@ -52,7 +52,8 @@ def similarity_sql(pairs: str) -> str:
 
 def normalize_names(spark: SparkSession, folder: str) -> DataFrame:
     """Normalised form of every whole document, as a digest and a length."""
-    rows = text.with_normalized_name(views.table(spark, folder, "documents"), "text", "norm")
+    documents = views.spread(views.table(spark, folder, "documents").select("doc_id", "text"))
+    rows = text.with_normalized_name(documents, "text", "norm")
     return rows.select("doc_id", F.md5("norm").alias("norm_digest"), F.length("norm").alias("norm_length"))
 
 

@@ -26,7 +26,7 @@ def _lineitem(spark: SparkSession, folder: str) -> DataFrame:
 def nested_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Every lineitem row as one nested market payload: three market kinds, removed books and
     outcomes, contradicting lines and a second book to be ignored."""
-    rows = _lineitem(spark, folder).withColumn("row_id", F.expr(_ROW)).withColumn(
+    rows = views.spread(_lineitem(spark, folder)).withColumn("row_id", F.expr(_ROW)).withColumn(
         "price", F.expr(_PRICE.format(text="STRING"))
     )
     line = F.expr("CAST(CAST(l_linenumber AS DECIMAL(4,1)) / 2 AS DECIMAL(4,1))")
@@ -117,7 +117,7 @@ _SLUG = "keyed"
 
 def keyed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Every lineitem row as one keyed odds document with a three-quote market."""
-    rows = _lineitem(spark, folder).withColumn("row_id", F.expr(_ROW)).withColumn(
+    rows = views.spread(_lineitem(spark, folder)).withColumn("row_id", F.expr(_ROW)).withColumn(
         "price", F.expr(_PRICE.format(text="STRING"))
     )
 

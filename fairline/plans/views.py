@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the session has cores.
+
+    Worth it before work that is heavy per row; a scan with enough splits is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as quotes: order = event, part = outcome, supplier = book."""
     return table(spark, folder, "lineitem").select(

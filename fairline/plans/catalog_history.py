@@ -18,7 +18,7 @@ from fairline.plans.views import (
 )
 
 _VALUES = ["decimal_odds", "is_available", "observed_at", "seq", "pk"]
-_LATEST_SQL = f"""
+LATEST_SQL = f"""
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY event_id, selection_type, bookmaker
       ORDER BY observed_at DESC, seq DESC, pk DESC, sk DESC) AS rn FROM ({QUOTES_SQL}) q) WHERE rn = 1
@@ -80,10 +80,10 @@ def best_price(spark: SparkSession, folder: str) -> DataFrame:
 _BEST_SQL = f"""
   SELECT event_id, selection_type, max(decimal_odds) AS best_odds,
     CAST(max(decimal_odds) - min(decimal_odds) AS DECIMAL(18,8)) AS price_spread, count(*) AS n_books
-  FROM ({_LATEST_SQL}) l WHERE is_available GROUP BY 1, 2
+  FROM ({LATEST_SQL}) l WHERE is_available GROUP BY 1, 2
 """
 _BEST_BOOK_SQL = f"""
-  SELECT b.*, (SELECT min(l.bookmaker) FROM ({_LATEST_SQL}) l WHERE l.event_id = b.event_id
+  SELECT b.*, (SELECT min(l.bookmaker) FROM ({LATEST_SQL}) l WHERE l.event_id = b.event_id
     AND l.selection_type = b.selection_type AND l.is_available AND l.decimal_odds = b.best_odds) AS best_book
   FROM ({_BEST_SQL}) b
 """
@@ -237,7 +237,7 @@ _RANGE_COLS = """arg_min(decimal_odds, (ts, event_id)) AS open_odds, max(decimal
 QUERIES = {
     "latest_odds": (
         latest_odds,
-        f"SELECT event_id, selection_type, bookmaker, decimal_odds, is_available, observed_at, seq, pk FROM ({_LATEST_SQL}) l",
+        f"SELECT event_id, selection_type, bookmaker, decimal_odds, is_available, observed_at, seq, pk FROM ({LATEST_SQL}) l",
     ),
     "odds_as_of": (
         odds_as_of,

@@ -9,6 +9,7 @@ from fairline.functions import keys
 from fairline.functions.scalars import lenient_integer
 from fairline.operators import quality, snapshots, structural
 from fairline.plans import views
+from fairline.plans.catalog_history import LATEST_SQL, latest_odds
 from fairline.plans.catalog_identity import uuid5_sql
 from fairline.plans.views import QUOTES_SQL
 from fairline.sources import keyed_feed, nested_feed
@@ -225,12 +226,13 @@ def feed_json_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshot_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """One snapshot per event and book: a digest of all its quotes, whatever their order."""
+    """One snapshot per event and book: a digest of its latest quote per outcome, whatever their order."""
     quote = F.struct(
-        F.concat_ws(":", "selection_type", "seq", "pk", "sk").alias("source_id"), F.col("selection_type").alias("label"),
+        F.concat_ws(":", "selection_type", "seq", "pk").alias("source_id"), F.col("selection_type").alias("label"),
         "decimal_odds", "is_available", F.col("observed_at").cast("timestamp").alias("source_updated_at"),
     )
-    markets = views.quotes(spark, folder).groupBy("event_id", "bookmaker").agg(F.collect_list(quote).alias("selections"))
+    # Three outcomes at most, so a market's list is small however often it was quoted.
+    markets = latest_odds(spark, folder).groupBy("event_id", "bookmaker").agg(F.collect_list(quote).alias("selections"))
     rows = markets.select(
         F.col("bookmaker").alias("bookmaker_id"), F.col("event_id").alias("market_id"), F.lit("open").alias("status"),
         "selections", F.lit(None).cast("timestamp").alias("source_updated_at"),
@@ -240,13 +242,13 @@ def snapshot_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_STATE_SQL = """concat_ws('|', concat_ws(':', selection_type, seq, pk, sk),
+_STATE_SQL = """concat_ws('|', concat_ws(':', selection_type, seq, pk),
     coalesce(regexp_replace(CAST(decimal_odds AS VARCHAR), '\\.?0+$', ''), ''), CASE WHEN is_available THEN '1' ELSE '0' END)"""
 _SNAPSHOT_NAME = """bookmaker || '|' || event_id || '|' || strftime(seen, '%Y-%m-%dT%H:%M:%S.%f+00:00') || '|open|0|' || state"""
 _SNAPSHOT_SQL = f"""
   SELECT event_id AS market_id, bookmaker AS bookmaker_id, {uuid5_sql(keys.SNAPSHOT_NAMESPACE, _SNAPSHOT_NAME)} AS snapshot_id, seen AS snapshot_time
   FROM (SELECT event_id, bookmaker, max(observed_at) AS seen, array_to_string(list_sort(list({_STATE_SQL})), ';') AS state
-    FROM ({QUOTES_SQL}) q GROUP BY 1, 2)
+    FROM ({LATEST_SQL}) q GROUP BY 1, 2)
 """
 
 _MARKET_TYPE = """CASE l_partkey % 6 WHEN 0 THEN 'Moneyline' WHEN 1 THEN 'TOTAL' WHEN 2 THEN 'spread' WHEN 3 THEN 'both teams-to score'

@@ -187,7 +187,8 @@ def is_three_way(definition: Column, rotated: Column) -> Column:
 
 def quotes(payloads: DataFrame, slug: str) -> DataFrame:
     """One row per usable quote of the book, with its fixture's facts and the skipped count."""
-    rows = parsed_object(payloads, f"{_FIXTURE},odds:MAP<STRING,MAP<STRING,{_QUOTE}>>", "fixture odds")
+    numbered = payloads.withColumn("payload_id", F.monotonically_increasing_id())
+    rows = parsed_object(numbered, f"{_FIXTURE},odds:MAP<STRING,MAP<STRING,{_QUOTE}>>", "fixture odds")
     fixture = blank_to_null(F.col("root.fixtureId"))
     if "event_source_id" in payloads.columns:
         changed = fixture.isNotNull() & (fixture != F.col("event_source_id"))
@@ -218,6 +219,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
     )
     root = F.col("root")
     return kept.select(
+        "payload_id",
         "event_source_id",
         "meta",
         "suspended",
@@ -226,7 +228,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
         _participant_id(root, 2).alias("away_id"),
         F.posexplode("kept").alias("position", "entry"),
     ).select(
-        "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id", "position",
+        "payload_id", "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id", "position",
         lenient_integer(F.col("entry.value.marketId")).alias("market_id"),
         F.coalesce(
             blank_to_null(F.col("entry.value.bookmakerMarketId")),
@@ -239,7 +241,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
 
 def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str) -> DataFrame:
     """SourceMarket rows: quotes grouped by market, joined to the definitions; stale feeds overlaid."""
-    facts = ["event_source_id", "market_id", "source_market_id"]
+    facts = ["payload_id", "event_source_id", "market_id", "source_market_id"]
     grouped = quotes(odds_payloads, slug).groupBy(*facts).agg(
         F.min("position").alias("position"),
         F.first("meta").alias("meta"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("catalog_history", "catalog_identity", "catalog_markets", "catalog_streams")
+_MODULES = ("catalog_history", "catalog_identity", "catalog_markets", "catalog_streams", "catalog_runs")
 
 
 def registered() -> dict:

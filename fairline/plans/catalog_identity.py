@@ -256,20 +256,26 @@ _COMPETITION_SQL = _ladder_sql(
     ("920000000000000000", "90/100", "80000000000000000", "750000000000000000"),
 )
 
-# events as scheduled events: odd ids are a book's records, even ids the canonical table.
-_EVENT_COLUMNS = """
+def _event_columns(k: str, start: str) -> str:
+    """events as scheduled events; ``k`` varies competition, name, roles and positions."""
+    return f"""
   event_type AS sport_id, CASE WHEN event_type = 'view' THEN 'tennis' ELSE event_type END AS sport_code,
-  CASE WHEN event_id % 9 < 2 THEN NULL WHEN event_id % 9 = 2 THEN 'cup' ELSE 'league' END AS competition_id,
-  CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'alpha - beta' WHEN 2 THEN 'alpha beta fc' ELSE 'Alpha Beta' END AS name,
+  CASE WHEN ({k}) % 9 < 2 THEN NULL WHEN ({k}) % 9 = 2 THEN 'cup' ELSE 'league' END AS competition_id,
+  CASE ({k}) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'alpha - beta' WHEN 2 THEN 'alpha beta fc' ELSE 'Alpha Beta' END AS name,
   concat('u', user_id) AS p1, concat('v', user_id % 7) AS p2,
-  CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS roles,
-  CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS positions, ts AS start_time, event_id
+  CASE WHEN ({k}) % 5 = 0 THEN 0 WHEN ({k}) % 11 = 0 THEN 2 ELSE 1 END AS roles,
+  CASE WHEN ({k}) % 3 = 0 THEN 0 WHEN ({k}) % 13 = 0 THEN 2 ELSE 1 END AS positions, {start} AS start_time, event_id
 """
 
 
+# The whole table is the canonical schedule, and the whole table again is what another book lists:
+# seven minutes later, with other spellings, roles and gaps.
+_CANONICAL_COLUMNS = _event_columns("event_id", "ts")
+_LISTED_COLUMNS = _event_columns("event_id + 1", "ts + INTERVAL 7 MINUTE")
+
+
 def _scheduled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     views.table(spark, folder, "events").createOrReplaceTempView("fairline_events")
-    rows = spark.sql(f"SELECT {_EVENT_COLUMNS} FROM fairline_events")
 
     def person(place: int) -> Column:
         return F.struct(
@@ -279,15 +285,17 @@ def _scheduled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
             F.when(F.col("positions") != 0, F.when(F.col("positions") == 1, place).otherwise(3 - place)).alias("position"),
         )
 
-    shaped = rows.select(
-        "event_id", "sport_id", "sport_code", "competition_id", "name", "start_time",
-        F.array(person(1), person(2)).alias("participants"),
-    )
-    sources = shaped.filter("event_id % 2 = 1").select(
+    def shaped(columns: str) -> DataFrame:
+        return spark.sql(f"SELECT {columns} FROM fairline_events").select(
+            "event_id", "sport_id", "sport_code", "competition_id", "name", "start_time",
+            F.array(person(1), person(2)).alias("participants"),
+        )
+
+    sources = shaped(_LISTED_COLUMNS).select(
         F.col("event_id").cast("string").alias("source_id"), "*", F.col("competition_id").alias("competition_source_id"),
         F.lit("scheduled").alias("status"), F.lit(False).alias("is_live"),
     )
-    return sources, shaped.filter("event_id % 2 = 0").withColumn("id", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    return sources, shaped(_CANONICAL_COLUMNS).withColumn("id", F.lpad(F.col("event_id").cast("string"), 12, "0"))
 
 
 _EVENT_COUNTS = ["candidate_count", "plausible_candidate_count", "competition_conflicts", "shape_conflicts", "role_risks",
@@ -320,8 +328,8 @@ _EVENT_PAIRS_SQL = f"""
       abs(epoch_us(s.start_time) - epoch_us(c.start_time)) AS delta,
       CASE WHEN s.sport_code = 'tennis' THEN 21600000000 ELSE 1800000000 END AS auto,
       CASE WHEN s.sport_code = 'tennis' THEN 172800000000 ELSE 86400000000 END AS guard
-    FROM (SELECT {_EVENT_COLUMNS} FROM events) s JOIN (SELECT {_EVENT_COLUMNS} FROM events) c
-      ON s.sport_id = c.sport_id AND s.p1 = c.p1 AND s.event_id % 2 = 1 AND c.event_id % 2 = 0)
+    FROM (SELECT {_LISTED_COLUMNS} FROM events) s JOIN (SELECT {_CANONICAL_COLUMNS} FROM events) c
+      ON s.sport_id = c.sport_id AND s.p1 = c.p1)
   WHERE delta <= guard
 """
 _EVENT_SCORED_SQL = f"""
@@ -342,8 +350,7 @@ _EVENT_SQL = f"""
       SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS runner FROM scored WHERE score IS NOT NULL
       WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, id)) WHERE rn = 1),
     windowed AS (SELECT s.event_id AS source_id, count(*) AS in_window FROM events s JOIN events c
-      ON s.event_type = c.event_type AND c.event_id % 2 = 0 AND s.event_id % 2 = 1
-        AND abs(epoch_us(s.ts) - epoch_us(c.ts)) <= CASE WHEN s.event_type = 'view' THEN 172800000000 ELSE 86400000000 END GROUP BY 1)
+      ON s.event_type = c.event_type AND abs(epoch_us(s.ts + INTERVAL 7 MINUTE) - epoch_us(c.ts)) <= CASE WHEN s.event_type = 'view' THEN 172800000000 ELSE 86400000000 END GROUP BY 1)
   SELECT CAST(e.event_id AS VARCHAR) AS source_id, state,
     CASE WHEN state = 'matched' THEN 'auto_match' WHEN state = 'created' THEN 'no_plausible_candidate'
       WHEN best >= 780000000000000000 THEN CASE WHEN best - coalesce(runner, 0) < 50000000000000000 THEN 'insufficient_margin'
@@ -359,12 +366,12 @@ _EVENT_SQL = f"""
       CASE WHEN best >= 900000000000000000 AND best - coalesce(runner, 0) >= 50000000000000000 THEN 'matched'
         WHEN best >= 780000000000000000 OR coalesce(role_risks + position_risks + time_risks, 0) > 0 THEN 'ambiguous' ELSE 'created' END AS state
     FROM events e LEFT JOIN best b ON b.source_id = e.event_id LEFT JOIN agg a ON a.source_id = e.event_id
-      LEFT JOIN windowed w ON w.source_id = e.event_id WHERE e.event_id % 2 = 1) e
+      LEFT JOIN windowed w ON w.source_id = e.event_id) e
 """
 _RISK_SQL = f"""
   SELECT e.event_type AS sport_id, CAST(sum(coalesce(role_risks, 0)) AS BIGINT) AS role_risks, CAST(sum(coalesce(position_risks, 0)) AS BIGINT) AS position_risks,
     CAST(sum(coalesce(time_risks, 0)) AS BIGINT) AS time_risks, count(*) FILTER (coalesce(role_risks + position_risks + time_risks, 0) > 0) AS at_risk
-  FROM events e LEFT JOIN ({_EVENT_AGG_SQL}) a ON a.source_id = e.event_id WHERE e.event_id % 2 = 1 GROUP BY 1
+  FROM events e LEFT JOIN ({_EVENT_AGG_SQL}) a ON a.source_id = e.event_id GROUP BY 1
 """
 
 

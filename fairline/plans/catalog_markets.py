@@ -390,8 +390,10 @@ def run_summary(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("markets"), F.sum("selections").alias("selections"), F.sum("quotes").alias("appended")
     )
     result = quality.run_counters(F.col("events"), F.col("skipped"), F.col("markets"), F.col("selections"), F.col("appended"))
-    # Two one-row aggregates.
-    return orders.join(counted, F.lit(True)).select("events", "skipped", "markets", "selections", result.alias("r")).select(
+    totals = orders.unionByName(counted, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("events", "skipped", "markets", "selections", "appended")]
+    )
+    return totals.select("events", "skipped", "markets", "selections", result.alias("r")).select(
         "events", "skipped", "markets", "selections", "r.received_count", "r.accepted_count", "r.rejected_count", "r.status"
     )
 

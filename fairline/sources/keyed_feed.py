@@ -16,6 +16,7 @@ from fairline.functions.scalars import (
 from fairline.functions.text import alphanumeric_token, blank_to_null
 from fairline.sources.payloads import lookup, once, parsed_list, parsed_object, required, text_map
 
+# The provider name this layout carries in its metadata.
 PROVIDER = "oddspapi"
 
 _META = (

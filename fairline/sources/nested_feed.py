@@ -62,6 +62,7 @@ class Book:
 
     id: str
     name: str
+    # Fixed value: the provider name this layout carries in its metadata.
     provider: str = "sportradar"
 
     def matches(self, book: Column) -> Column:

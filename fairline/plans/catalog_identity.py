@@ -275,7 +275,7 @@ _LISTED_COLUMNS = _event_columns("event_id + 1", "ts + INTERVAL 7 MINUTE")
 
 
 def _scheduled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    views.table(spark, folder, "events").createOrReplaceTempView("fairline_events")
+    views.spread(views.table(spark, folder, "events")).createOrReplaceTempView("fairline_events")
 
     def person(place: int) -> Column:
         return F.struct(

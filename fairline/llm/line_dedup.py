@@ -26,13 +26,14 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     the lines, and the lines' numbers."""
     numbered = "transform(split(text, '\\n', -1), (l, i) -> named_struct('i', i, 'full', l rlike '[^\\\\x20\\\\x09-\\\\x0D]', 'h', xxhash64(l), 'g', xxhash64(5, l)))"
     lines = docs.select("k1", "k2", "id", F.expr(f"filter({numbered}, x -> x.full)").alias("ls"))
-    lines = lines.where(F.size("ls") >= window).select("k1", "k2", "id", F.col("ls.i").alias("i"), F.col("ls.h").alias("h"), F.col("ls.g").alias("g"))
+    lines = lines.select("k1", "k2", "id", F.col("ls.i").alias("i"), F.col("ls.h").alias("h"), F.col("ls.g").alias("g"))
     of = lambda name: [f"{name}[s + {j}]" for j in range(window)]
     least = f"array_min(array({', '.join(of('h'))}))"
-    window_at = f"""transform(sequence(0, size(h) - {window}), s -> named_struct(
+    # Exploded as "outer", as a filter on the array's size would make the array a second time.
+    window_at = f"""case when size(h) >= {window} then transform(sequence(0, size(h) - {window}), s -> named_struct(
         'start', i[s], 'mark', {least}, 'at', s + array_position(array({", ".join(of("h"))}), {least}),
-        'a', xxhash64({", ".join(of("h"))}), 'b', xxhash64({", ".join(of("g"))}), 'lines', array({", ".join(of("i"))})))"""
-    return lines.select("k1", "k2", "id", F.explode(F.expr(window_at)).alias("w")).select("k1", "k2", "id", "w.*")
+        'a', xxhash64({", ".join(of("h"))}), 'b', xxhash64({", ".join(of("g"))}), 'lines', array({", ".join(of("i"))}))) end"""
+    return lines.select("k1", "k2", "id", F.explode_outer(F.expr(window_at)).alias("w")).where("w is not null").select("k1", "k2", "id", "w.*")
 
 
 def repeated_lines(docs: DataFrame, window: int) -> DataFrame:

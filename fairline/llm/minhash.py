@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fairline.llm.common import keys, stage, whole
 from fairline.llm.graph import components
-from fairline.llm.words import U, mix, shingle_sets
+from fairline.llm.words import U, mix, parts, shingle_sets
 
 ROWS_PER_BAND = 4
 _BLOCK = 1 << 15  # shingles worked on at once
@@ -62,7 +62,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def _signer(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = list(shingle_sets(batch.column("text"), k))
             sizes = np.array([len(s) for s in sets], np.int64)
             held = [s for s in sets if len(s)]
@@ -89,7 +89,7 @@ def _signer(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             held = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(held, pa.binary())], ["c", "shingles"])
 

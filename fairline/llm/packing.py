@@ -249,3 +249,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     offset = F.sum("length").over(in_order) - F.col("length")
     ids = ["ids"] * keep_ids
     return placed.select(F.col("id").alias(doc_id), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), *ids)
+
+
+def word_tokenizer() -> str:
+    """Path of the installed public word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")

@@ -23,7 +23,7 @@ def _words(source: str, key: str) -> str:
     named = f"regexp_replace(regexp_replace(text, '{_NAME}', '\\1' || chr(1) || '\\2', 'g'), '{_NAME}', '\\1' || chr(1) || '\\2', 'g')"
     plain = f"regexp_replace(lower({named}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\x01\\x20\\x09-\\x0D]+', '', 'g')"
     numbers = f"regexp_replace({plain}, '(\\p{{Nd}}+)', ' ' || chr(2) || '\\1 ', 'g')"
-    return f"SELECT DISTINCT {key} AS id, list_filter(string_split_regex({numbers}, '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS ws FROM {source} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key} AS id, list_filter(string_split_regex({numbers}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM {source} WHERE text IS NOT NULL"
 
 
 def _windows(source: str) -> str:
@@ -31,9 +31,9 @@ def _windows(source: str) -> str:
     slot = f"""CASE WHEN ascii(ws[p]) = 1 THEN chr(1) WHEN ascii(ws[p]) = 2 THEN chr(2)
       WHEN ws[p] IN ({units}) AND p > 1 AND ascii(ws[p - 1]) = 2 THEN chr(3) ELSE ws[p] END"""
     return f"""SELECT id, ws, p, array_to_string(tpl[p : p + {WINDOW - 1}], ' ') AS win,
-      len(list_filter(tpl[p : p + {WINDOW - 1}], w -> ascii(w) <= 3)) AS slots
+      len(list_filter(tpl[p : p + {WINDOW - 1}], lambda w: ascii(w) <= 3)) AS slots
     FROM (SELECT id, ws, tpl, unnest(range(1, len(ws) - {WINDOW - 2})) AS p
-      FROM (SELECT id, ws, list_transform(range(1, len(ws) + 1), p -> {slot}) AS tpl FROM {source}))"""
+      FROM (SELECT id, ws, list_transform(range(1, len(ws) + 1), lambda p: {slot}) AS tpl FROM {source}))"""
 
 
 _OP6_SQL = f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairline.llm.common import table
 from fairline.llm.language import held_out, identify, learn
 from fairline.llm.packing import pack, word_tokenizer
+from fairline.llm.quality import judge_quality, references
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +24,15 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = judge_quality(docs, references(docs), carry=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 QUERIES = {
+    "op10_quality_rules": (op10_quality_rules, None),
     "op3_packing": (op3_packing, None),
     "op8_language_id": (op8_language_id, None),
 }

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairline.llm.common import table
 from fairline.llm.url_rules import judge
+from fairline.llm.warc import archive
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -32,4 +34,11 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT JOIN fits ON urls.n = fits.n AND fits.r = 1
 """
 
-QUERIES = {"op1_url_filters": (op1_url_filters, _OP1_SQL)}
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record as read back from normalised archives."""
+    found = archive(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+QUERIES = {"op7_warc": (op7_warc, None), "op1_url_filters": (op1_url_filters, _OP1_SQL)}

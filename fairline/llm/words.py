@@ -12,7 +12,8 @@ SLICE_BYTES = 1 << 19  # bytes hashed at once, to bound temporary arrays
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.RandomState(20240607).randint(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_FOLDED = _BYTES.copy()
+_FOLDED[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -62,11 +63,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z, and where each text's words start among them."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of texts that lie behind one another."""
     n = len(data)
     if not n:
-        return np.empty(0, U), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     word = ~_SPACE[data]
     first = np.zeros(n, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -75,10 +76,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     last = np.ones(n, bool)
     last[:-1] = ~word[1:] | first[1:]
-    ends = np.flatnonzero(word & last) + 1
+    return starts, np.flatnonzero(word & last) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (with ``fold``, A-Z as a-z), and where each text's words start among them."""
+    n = len(data)
+    if not n:
+        return np.empty(0, U), np.zeros(len(offsets), np.int64)
+    starts, ends = word_bounds(data, offsets)
     up, down = _power_tables(n)
     sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTES[data] * up, out=sums[1:])
+    np.cumsum((_FOLDED if fold else _BYTES)[data] * up, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(_BASE))
     return hashes, np.searchsorted(starts, offsets)
 

@@ -9,6 +9,7 @@ from fairline.llm.common import table
 from fairline.llm.language import held_out, identify, learn
 from fairline.llm.packing import pack, word_tokenizer
 from fairline.llm.quality import judge_quality, references
+from fairline.llm.secret_scan import scan
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +32,20 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base spans, and all spans."""
+    found = scan(table(spark, folder, "documents").select("doc_id", "text"), carry=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+
+
 QUERIES = {
+    "op5_secret_scan": (op5_secret_scan, None),
     "op10_quality_rules": (op10_quality_rules, None),
     "op3_packing": (op3_packing, None),
     "op8_language_id": (op8_language_id, None),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairline.llm.common import table
 from fairline.llm.line_dedup import remove_repeated_runs
 from fairline.llm.minhash import near_duplicates
+from fairline.llm.repeats import remove_repeats
 
 
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +52,14 @@ SELECT d.doc_id, CAST(len(d.ls) AS BIGINT) AS n_lines, coalesce(c.n, 0) AS n_rem
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN counts c ON d.doc_id = c.doc_id
 """
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to repeated strings of 200 bytes."""
+    found = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), length=200, digests=True)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op2_line_dedup": (op2_line_dedup, _OP2_SQL),
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
 }

@@ -29,6 +29,7 @@ from fairline.llm.graph import components
 from fairline.llm.words import U, mix, parts, shingle_sets
 
 ROWS_PER_BAND = 4
+RARE = 16  # texts that share a shingle which is joined on
 _BLOCK = 1 << 15  # shingles worked on at once
 _CLASS = "struct<x:long,y:long>"
 
@@ -142,30 +143,43 @@ def _with_second_pivot(apart: DataFrame) -> DataFrame:
 
 
 def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair in a bucket, of different components, that sizes and shared shingles allow to reach the similarity.
+    """Every pair of different components, from buckets of more than three, whose sets can reach the similarity at all.
 
-    ``u`` counts the shingles of a text that occur in any other open text, so an intersection has at most that many. A
-    pair of sizes p <= q with intersection i reaches the similarity if 100 i >= percent (p + q - i): p >= percent q / 100,
-    q <= high(p) and p <= high(q) with high(s) = (100 + percent) u / percent - s. Sizes are compared by joining on bins
-    of sizes 2 % apart.
+    A shingle is shared if it is in two or more of the open texts, rare if in at most RARE and common if in more. ``u``
+    counts a text's shared shingles, ``common`` its common ones. A pair has at most m shingles in both, where m is
+
+    * r + the smaller ``common``, for pairs with r > 0 rare shingles in both; joining on rare shingles finds and counts them,
+    * the smaller ``common`` for all other pairs in a bucket.
+
+    Sizes p <= q reach the similarity only if 100 m >= percent (p + q - m). For the second kind that is q <= high(p) and
+    p <= high(q) with high(s) = (100 + percent) common / percent - s, compared by joining on bins of sizes 2 % apart.
     """
     apart = apart.where("size > 3")  # in smaller buckets the pivots have met every class
-    held = apart.select("c").distinct().join(sets, "c")
-    size = F.length("shingles") / 8
-    each = held.select("c", size.cast("long").alias("n"), F.explode(F.expr("transform(sequence(0, int(length(shingles) / 8) - 1), i -> substring(shingles, i * 8 + 1, 8))")).alias("s"))
+    held = apart.select("c", "label").distinct().join(sets, "c")
+    each = held.select("c", "label", (F.length("shingles") / 8).cast("long").alias("n"), F.explode(F.expr("transform(sequence(0, int(length(shingles) / 8) - 1), i -> substring(shingles, i * 8 + 1, 8))")).alias("s"))
     each = stage(each, "shingles")
-    common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
-    counted = each.join(common, "s").groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("u"))
-    high = F.floor((100 + percent) * F.col("u") / percent) - F.col("n")
-    bounded = counted.where(F.expr(f"100 * u >= {percent} * n")).withColumn("high", high)
+    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    marked = stage(each.join(shared, "s"), "shared")
+    counted = marked.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("u"), F.count_if(F.col("df") > RARE).alias("common"))
+    counted = stage(counted.where(f"100 * u >= {percent} * n"), "counted")
+
+    rare = marked.where(f"df <= {RARE}").select("s", "c", "label").join(counted, "c")
+    left = rare.select("s", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("u").alias("ua"), F.col("common").alias("ca"))
+    right = rare.select("s", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("u").alias("ub"), F.col("common").alias("cb"))
+    enough = lambda m: F.expr(f"100 * ({m}) >= {percent} * (p + q - ({m}))")
+    both = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough("least(ua, ub)"))
+    both = both.groupBy("a", "b").agg(F.count("*").alias("r"), *[F.first(x).alias(x) for x in ("p", "q", "ca", "cb")])
+    first = both.where(enough("r + least(ca, cb)")).select("a", "b")
+
     bin_ = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.02)))
-    places = apart.join(bounded, "c")
+    high = F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
+    places = apart.join(counted.withColumn("high", high), "c")
     small = places.where("high >= n").select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("high").alias("ha"), bin_(F.col("n")).alias("bin"))
     low = F.ceil(F.col("n") * percent / 100)
     top = F.least("n", "high")
     large = places.where(top >= low).select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("high").alias("hb"), F.explode(F.sequence(bin_(low), bin_(top))).alias("bin"))
     on = (F.col("la") != F.col("lb")) & F.expr(f"p <= q and 100 * p >= {percent} * q and q <= ha and p <= hb and (p < q or a < b)")
-    return small.join(large, ["bucket", "bin"]).where(on).select("a", "b").distinct()
+    return first.union(small.join(large, ["bucket", "bin"]).where(on).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, carry: list[str] | None = None) -> DataFrame:

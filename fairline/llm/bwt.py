@@ -53,9 +53,11 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
-    new = np.empty(len(keys), np.int64)
     sorted_ = keys[order]
-    new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    step = np.zeros(len(keys), np.int32)
+    np.cumsum(sorted_[1:] != sorted_[:-1], out=step[1:], dtype=np.int32)
+    new = np.empty(len(keys), np.int32)
+    new[order] = step
     return new
 
 
@@ -67,14 +69,15 @@ def sorted_shard(symbol: np.ndarray, follow: np.ndarray, preceded: np.ndarray) -
     n = len(symbol)
     short = symbol < 0
     ends = int(short.sum())
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[short] = np.arange(ends)  # each end is a value of its own, in the order of places
     rank[~short] = ends + _ranks(symbol[~short])
-    follow = np.where(short, np.arange(n), follow)
+    follow = np.where(short, np.arange(n, dtype=np.int32), follow)
     while True:
-        new = _ranks(rank * (n + 1) + np.where(short, 0, rank[follow] + 1))
+        new = _ranks(rank * np.int64(n + 1) + np.where(short, 0, rank[follow] + 1))
         if new.max(initial=0) == n - 1:
-            order = np.argsort(new)
+            order = np.empty(n, np.int32)
+            order[new] = np.arange(n, dtype=np.int32)
             return Shard(order, preceded[order], ends)
         rank, follow = new, follow[follow]
 
@@ -89,12 +92,12 @@ def interleave(shards: list[Shard], steps: int) -> tuple[np.ndarray, np.ndarray]
     apart = np.zeros(n, bool)
     apart[0] = True
     for step in range(steps):
-        before = np.empty(n, np.int64)
+        before = np.empty(n, np.int32)
         for i, shard in enumerate(shards):
             before[which == i] = shard.before
-        group = np.cumsum(apart)
-        there = np.flatnonzero(before >= 0)
-        order = there[np.argsort(before[there] * n + there)]  # stable by block
+        group = np.cumsum(apart, dtype=np.int32)
+        there = np.flatnonzero(before >= 0).astype(np.int32)
+        order = there[np.argsort(before[there] * np.int64(n) + there)]  # stable by block
         which = np.concatenate([first, which[order]])
         block, group = before[order], group[order]
         parted = np.ones(n, bool)
@@ -113,25 +116,24 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int, block: i
     size, sizes = len(data), np.diff(offsets)
     if not size:
         return np.zeros(0, bool)
-    place = np.arange(size)
-    full = place + block < np.repeat(offsets[1:], sizes)
-    hashes = rolling(data, block)[place[full]]
-    symbol = np.full(size, -1, np.int64)
-    symbol[full] = _ranks(hashes)
-    preceded = np.full(size, -1, np.int64)
-    inner = place - block >= np.repeat(offsets[:-1], sizes)
+    place = np.arange(size, dtype=np.int32)
+    full = place + block < np.repeat(offsets[1:].astype(np.int32), sizes)
+    symbol = np.full(size, -1, np.int32)
+    symbol[full] = _ranks(rolling(data, block)[place[full]])
+    preceded = np.full(size, -1, np.int32)
+    inner = place - block >= np.repeat(offsets[:-1].astype(np.int32), sizes)
     preceded[inner] = symbol[place[inner] - block]
-    shard_of = np.repeat(np.arange(len(sizes)) % n_shards, sizes)
+    shard_of = np.repeat((np.arange(len(sizes)) % n_shards).astype(np.int8), sizes)
     shards, places = [], []
     for i in range(min(n_shards, len(sizes))):
-        own = np.flatnonzero(shard_of == i)
-        index = np.zeros(size, np.int64)
+        own = np.flatnonzero(shard_of == i).astype(np.int32)
+        index = np.zeros(size, np.int32)
         index[own] = np.arange(len(own))
         follow = index[np.minimum(own + block, size - 1)]
         shards.append(sorted_shard(symbol[own], follow, preceded[own]))
         places.append(own)
     which, common = interleave(shards, length // block)
-    at = np.empty(size, np.int64)
+    at = np.empty(size, np.int32)
     for i, (shard, own) in enumerate(zip(shards, places, strict=True)):
         at[which == i] = own[shard.order]
     joined = common >= length // block

@@ -18,7 +18,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither replay it nor depend on one executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fairline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,10 +30,10 @@ from fairline.llm.words import U, mix, parts
 
 GRAM = 32
 BLOCK = 50
-CHUNK_BYTES = 1 << 19  # segments sorted together, about
+CHUNK_BYTES = 1 << 18  # segments sorted together, about
 TASK_BYTES = 4 << 20
-HOT_BYTES = 1 << 21
-_PIECE = 1 << 20  # strings of a long text looked at together
+HOT_BYTES = 1 << 20
+_PIECE = 1 << 17  # strings of a long text looked at together
 
 
 def _minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +65,7 @@ def _runs(text: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def _fingerprints(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 256):
+        for batch in parts(batches, 128):
             rows, columns = [], [[], [], [], []]
             for row, text in enumerate(batch.column("text")):
                 data = np.frombuffer(text.as_buffer(), np.uint8)

@@ -90,7 +90,7 @@ _BEST_BOOK_SQL = f"""
 
 
 def market_margin(spark: SparkSession, folder: str) -> DataFrame:
-    return readmodels.market_margin(_best(spark, folder), ["event_id"], 3)
+    return readmodels.market_margin(_best(spark, folder), ["event_id"], "selection_type", ["home", "draw", "away"])
 
 
 def arbitrage(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,8 +98,12 @@ def arbitrage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MARGIN_SQL = f"""
-  SELECT event_id, CAST(sum(CAST(floor(CAST(1000000 AS DOUBLE) / CAST(best_odds AS DOUBLE)) AS BIGINT)) AS BIGINT) AS implied_ppm
-  FROM ({_BEST_SQL}) b GROUP BY event_id HAVING count(*) = 3
+  SELECT event_id, CAST((x // a + x // b + x // c + 2) // 1000000000000 AS BIGINT) AS implied_ppm,
+    (a * b + b * c + a * c) * 100000000 < a * b * c AS is_arbitrage
+  FROM (SELECT event_id, 100000000000000000000000000::HUGEINT AS x,
+      max(n) FILTER (selection_type = 'home') AS a, max(n) FILTER (selection_type = 'draw') AS b, max(n) FILTER (selection_type = 'away') AS c
+    FROM (SELECT *, CAST(CAST(best_odds AS DECIMAL(38,8)) * 100000000 AS HUGEINT) AS n FROM ({_BEST_SQL}) b) GROUP BY event_id)
+  WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
 """
 
 
@@ -264,9 +268,9 @@ QUERIES = {
     "best_price": (best_price, _BEST_BOOK_SQL),
     "market_margin": (
         market_margin,
-        f"SELECT event_id, implied_ppm, implied_ppm - 1000000 AS margin_ppm, implied_ppm < 1000000 AS is_arbitrage FROM ({_MARGIN_SQL}) m",
+        f"SELECT event_id, implied_ppm, implied_ppm - 1000000 AS margin_ppm, is_arbitrage FROM ({_MARGIN_SQL}) m",
     ),
-    "arbitrage": (arbitrage, f"SELECT * FROM ({_MARGIN_SQL}) m WHERE implied_ppm < 1000000"),
+    "arbitrage": (arbitrage, f"SELECT event_id, implied_ppm FROM ({_MARGIN_SQL}) m WHERE is_arbitrage"),
     "line_movement": (line_movement, _MOVEMENT_SQL),
     "price_ranges": (
         price_ranges,
@@ -326,7 +330,7 @@ QUERIES = {
           changes AS (
             SELECT 'price_move' AS kind, concat(selection_id, '/', bookmaker) AS subject, CAST(event_id AS VARCHAR) AS "at",
               CAST(abs(step * 1000000) AS BIGINT) AS amount FROM ({_MOVEMENT_SQL}) m WHERE step IS NOT NULL
-            UNION ALL SELECT 'arbitrage', event_id, 'latest', 1000000 - implied_ppm FROM ({_MARGIN_SQL}) a WHERE implied_ppm < 1000000
+            UNION ALL SELECT 'arbitrage', event_id, 'latest', 1000000 - implied_ppm FROM ({_MARGIN_SQL}) a WHERE is_arbitrage
             UNION ALL SELECT 'unavailable', event_id, strftime(observed_at, '%Y-%m-%d'), count(*) FROM ({QUOTES_SQL}) q
               WHERE NOT is_available GROUP BY event_id, observed_at)
           SELECT rule_id, kind, subject, "at", amount FROM changes JOIN rules USING (kind) WHERE amount >= threshold""",

@@ -64,21 +64,34 @@ def best_prices(latest: DataFrame, event: list[str], outcome: str) -> DataFrame:
     )
 
 
-def implied_ppm(price: Column) -> Column:
-    """Implied probability in parts per million, floored, so sums stay integers."""
-    return F.floor(F.lit(PPM).cast("double") / price.cast("double")).cast("bigint")
+def market_margin(best: DataFrame, event: list[str], outcome: str, wanted: list[str]) -> DataFrame:
+    """Sum of implied probabilities over markets that have a best price for each of the ``wanted`` two or three outcomes.
 
-
-def market_margin(best: DataFrame, event: list[str], outcomes: int) -> DataFrame:
-    """Sum of implied probabilities over complete outcome sets; under one million is an arbitrage."""
-    return (
-        best.groupBy(*event)
-        .agg(F.sum(implied_ppm(F.col("best_odds"))).alias("implied_ppm"), F.count("*").alias("n_outcomes"))
-        .filter(F.col("n_outcomes") == outcomes)
-        .select(
-            *event, "implied_ppm", (F.col("implied_ppm") - PPM).alias("margin_ppm"),
-            (F.col("implied_ppm") < PPM).alias("is_arbitrage"),
-        )
+    ``is_arbitrage`` is exact: the sum of 1 / odds is under one if, in units of 1e-8, the products of all but one price sum up
+    to less than the product of all; prices from 10,000 on are compared by quotients of 18 decimals, rounded up.
+    ``implied_ppm`` is the sum in parts per million, rounded down from 18 decimals.
+    """
+    names = [f"o{i}" for i in range(len(wanted))]
+    units = (F.col("best_odds").cast("decimal(28,8)") * 100_000_000).cast("decimal(36,0)")
+    sides = best.groupBy(*event).agg(*[F.max(F.when(F.col(outcome) == w, units)).alias(n) for n, w in zip(names, wanted, strict=True)])
+    for n in names:
+        sides = sides.filter(F.col(n).isNotNull())
+    quotients = [F.expr(f"100000000000000000000000000BD div {n}") for n in names]
+    total = sum(quotients[1:], quotients[0])
+    small = F.greatest(*names) < 1_000_000_000_000
+
+    def product(of: list[str]) -> Column:
+        out = F.expr(f"try_cast({of[0]} AS DECIMAL(12,0))")
+        for n in of[1:]:
+            out = out * F.expr(f"try_cast({n} AS DECIMAL(12,0))")
+        return out
+
+    parts = [product([m for m in names if m != n]) for n in names]
+    exact = sum(parts[1:], parts[0]) * F.lit(100_000_000).cast("decimal(9,0)") < product(names)
+    ppm = F.floor((total + len(wanted) - 1) / F.lit(10**12).cast("decimal(13,0)")).cast("bigint")
+    return sides.select(
+        *event, ppm.alias("implied_ppm"), (ppm - PPM).alias("margin_ppm"),
+        F.when(small, exact).otherwise(total + len(wanted) < 10**18).alias("is_arbitrage"),
     )
 
 

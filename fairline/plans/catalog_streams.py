@@ -18,11 +18,20 @@ def _tick_stream(spark: SparkSession, folder: str) -> DataFrame:
     return views.as_ticks(raw).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _late_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """The events dealt over several files and read one at a time, so most rows of a batch are late for those before."""
+    source = quotes.new_folder(spark, "late-ticks")
+    views.table(spark, folder, "events").repartition(FILES, F.pmod(F.xxhash64("event_id"), F.lit(FILES))).write.parquet(source)
+    schema = views.table(spark, folder, "events").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return views.as_ticks(raw).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Replay-safe append of the stream, started twice over the same files."""
+    """Replay-safe append of the stream from files out of order, started twice over the same files."""
     target = quotes.new_folder(spark, "stream-dedup")
     for attempt in ("first", "replay"):
-        keyed = _tick_stream(spark, folder).withColumn(
+        keyed = _late_ticks(spark, folder).withColumn(
             "observation_key",
             keys.observation_key(
                 F.col("bookmaker"), F.col("selection_id"), F.col("decimal_odds"), F.col("is_available"), F.col("ts"),
@@ -35,10 +44,11 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
     target = quotes.new_folder(spark, "stream-changes")
+    """Changes per series after files that come out of order."""
     quotes.change_stream(
-        _tick_stream(spark, folder), f"{target}/out", f"{target}/state", f"{target}/progress", TICK_SERIES, "ts", TICK_ORDER
+        _late_ticks(spark, folder), f"{target}/out", f"{target}/state", f"{target}/progress", TICK_SERIES, "ts", TICK_ORDER
     ).awaitTermination()
-    return spark.read.parquet(f"{target}/out").select("event_id", "bookmaker", "selection_id", "decimal_odds", "is_available")
+    return quotes.read_changes(spark, f"{target}/out", TICK_SERIES).select("event_id", "bookmaker", "selection_id", "decimal_odds", "is_available")
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,10 +59,11 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly bars, each emitted when the watermark passes its end."""
-    rows = quotes.to_table(quotes.bars(_tick_stream(spark, folder), TICK_SERIES, "ts", "1 hour"), "stream-bars")
+    rows = quotes.to_table(quotes.bars(_tick_stream(spark, folder), TICK_SERIES, "ts", "1 hour", TICK_ORDER), "stream-bars")
     return rows.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
 
 
+FILES = 4
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 QUERIES = {
@@ -77,6 +88,7 @@ QUERIES = {
     "stream_bars": (
         stream_bars,
         f"""SELECT selection_id, bookmaker, date_trunc('hour', ts)::TIMESTAMP AS bar_start, max(decimal_odds) AS high_odds, min(decimal_odds) AS low_odds,
+            arg_min(decimal_odds, (ts, event_id)) AS open_odds, arg_max(decimal_odds, (ts, event_id)) AS close_odds,
             count(*) AS n_quotes FROM ({TICKS_SQL}) t WHERE decimal_odds IS NOT NULL GROUP BY 1, 2, 3
           HAVING date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR <= {_CLOSED}""",
     ),

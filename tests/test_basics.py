@@ -172,4 +172,28 @@ def test_changes_across_micro_batches(spark):
     land([1, 2], "1.5")
     land([3], "1.5")
     land([4, 5], "2.0")
-    assert sorted(r.n for r in spark.read.parquet(f"{folder}/out").collect()) == [1, 4]
+    assert sorted(r.n for r in stream.read_changes(spark, f"{folder}/out", ["s"]).collect()) == [1, 4]
+
+
+def test_late_quotes_land_and_change_what_follows(spark):
+    """Three one-file batches: quotes that come days late are appended, and the changes equal those of one batch."""
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    schema = "observation_key string, s string, ts timestamp, n int, decimal_odds decimal(18,8), is_available boolean"
+    day = lambda d, h=0: datetime(2026, 3, d, h, tzinfo=UTC)
+    rows = [("p", day(10), 3, "2.5"), ("q", day(11), 4, "4.0"), ("late", day(1), 1, "2.5"), ("late2", day(10, 9), 5, "4.0"), ("p", day(10), 3, "2.5"), ("last", day(2), 2, "3.0")]
+
+    def run(name):
+        read = lambda: spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream.append_stream(read(), f"{folder}/history", f"{folder}/{name}", ["ts", "n"], time="ts").awaitTermination()
+        stream.change_stream(read(), f"{folder}/out", f"{folder}/state", f"{folder}/progress", ["s"], "ts", ["ts", "n"]).awaitTermination()
+
+    seen = []
+    for part in (rows[:2], rows[2:3], rows[3:]):
+        spark.createDataFrame([(k, "a", t, n, Decimal(o), True) for k, t, n, o in part], schema).write.mode("append").parquet(f"{folder}/in")
+        run("progress-history")
+        seen += [r for r in part if r not in seen]
+        got = sorted({r.observation_key for r in stream.read_changes(spark, f"{folder}/out", ["s"]).collect()})
+        batch = spark.createDataFrame([(k, "a", t, n, Decimal(o), True) for k, t, n, o in seen], schema)
+        assert got == sorted(r.observation_key for r in history.change_only(batch, ["s"], "ts", ["ts", "n"]).collect())
+    run("replayed")
+    assert sorted(r.observation_key for r in spark.read.parquet(f"{folder}/history").collect()) == ["last", "late", "late2", "p", "q"]

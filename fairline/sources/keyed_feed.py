@@ -14,7 +14,7 @@ from fairline.functions.scalars import (
     lenient_integer,
 )
 from fairline.functions.text import alphanumeric_token, blank_to_null
-from fairline.sources.payloads import lookup, once, parsed_list, parsed_object, required, text_map
+from fairline.sources.payloads import lookup, once, parsed_list, parsed_object, payload_file, required, text_map
 
 # The provider name this layout carries in its metadata.
 PROVIDER = "oddspapi"
@@ -86,7 +86,7 @@ def events(
     payloads: DataFrame, slug: str, since: Column | None = None, sport_source_id: str | None = None
 ) -> DataFrame:
     """SourceEvent rows: pregame fixtures of the book with two identified participants."""
-    rows = parsed_list(payloads, _FIXTURE, "fixtures").withColumn("meta", once(_book_meta(F.col("item"), slug)))
+    rows = parsed_list(payloads, _FIXTURE, "fixtures").withColumn("payload_file", payload_file(payloads)).withColumn("meta", once(_book_meta(F.col("item"), slug)))
     f = F.col("item")
 
     def person(position: int) -> Column:
@@ -141,6 +141,7 @@ def events(
             bookmaker_fixture_id=blank_to_null(F.col("meta.bookmakerFixtureId")),
             participants_rotated=F.col("meta.participantsRotated"),
         ).alias("metadata"),
+        "payload_file",
         "position",
     )
 
@@ -188,7 +189,7 @@ def is_three_way(definition: Column, rotated: Column) -> Column:
 
 def quotes(payloads: DataFrame, slug: str) -> DataFrame:
     """One row per usable quote of the book, with its fixture's facts and the skipped count."""
-    numbered = payloads.withColumn("payload_id", F.monotonically_increasing_id())
+    numbered = payloads.withColumn("payload_id", F.monotonically_increasing_id()).withColumn("payload_file", payload_file(payloads))
     rows = parsed_object(numbered, f"{_FIXTURE},odds:MAP<STRING,MAP<STRING,{_QUOTE}>>", "fixture odds")
     fixture = blank_to_null(F.col("root.fixtureId"))
     if "event_source_id" in payloads.columns:
@@ -221,6 +222,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
     root = F.col("root")
     return kept.select(
         "payload_id",
+        "payload_file",
         "event_source_id",
         "meta",
         "suspended",
@@ -229,7 +231,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
         _participant_id(root, 2).alias("away_id"),
         F.posexplode("kept").alias("position", "entry"),
     ).select(
-        "payload_id", "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id", "position",
+        "payload_id", "payload_file", "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id", "position",
         lenient_integer(F.col("entry.value.marketId")).alias("market_id"),
         F.coalesce(
             blank_to_null(F.col("entry.value.bookmakerMarketId")),
@@ -244,6 +246,7 @@ def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str)
     """SourceMarket rows: quotes grouped by market, joined to the definitions; stale feeds overlaid."""
     facts = ["payload_id", "event_source_id", "market_id", "source_market_id"]
     grouped = quotes(odds_payloads, slug).groupBy(*facts).agg(
+        F.first("payload_file").alias("payload_file"),
         F.min("position").alias("position"),
         F.first("meta").alias("meta"),
         F.first("suspended").alias("suspended"),
@@ -307,5 +310,6 @@ def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str)
             skipped_quotes=F.col("skipped"),
             stale_odds=F.when(F.col("stale"), F.lit("true")),
         ).alias("metadata"),
+        "payload_file",
         "position",
     )

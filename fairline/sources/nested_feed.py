@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fairline.functions.scalars import PRICE, aware_timestamp, lenient_boolean, lenient_decimal
 from fairline.functions.text import blank_to_null, id_suffix, numeric_id_suffix, provider_token
-from fairline.sources.payloads import lookup, once, parsed_object, required, text_map
+from fairline.sources.payloads import lookup, once, parsed_object, payload_file, required, text_map
 
 _NAMED = "STRUCT<id:STRING,name:STRING>"
 _EVENT = (
@@ -112,7 +112,7 @@ def events(
     )
     listed = required(F.coalesce("root.schedules", "root.sport_events"), "event schedules")
     wrapped = rows.select(
-        aware_timestamp(F.col("root.generated_at")).alias("generated_at"), F.posexplode(listed).alias("position", "w")
+        payload_file(payloads), aware_timestamp(F.col("root.generated_at")).alias("generated_at"), F.posexplode(listed).alias("position", "w")
     )
     fields = [part.split(":")[0] for part in ("id", "start_time", "scheduled", "status", "name", "competitors",
                                               "sport_event_context", "sport", "competition", "tournament")]
@@ -170,6 +170,7 @@ def events(
         (F.col("status") == "live").alias("is_live"),
         F.col("generated_at").alias("source_updated_at"),
         text_map(provider=F.lit(book.provider), book=F.lit(book.name), source_status=raw_status).alias("metadata"),
+        "payload_file",
         "position",
     )
 
@@ -289,6 +290,7 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
     )
     event_id = F.col("event_source_id") if "event_source_id" in payloads.columns else blank_to_null(F.col("root.sport_event.id"))
     listed = rows.select(
+        payload_file(payloads),
         event_id.alias("event_source_id"),
         aware_timestamp(F.col("root.generated_at")).alias("generated_at"),
         F.posexplode(required(F.col("root.markets"), "markets")).alias("position", "m"),
@@ -297,6 +299,7 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
     no_outcomes = F.array().cast(f"array<{_OUTCOME.lower()}>")
     books = listed.withColumn("b", once(chosen)).filter("b IS NOT NULL")
     cleaned = books.select(
+        "payload_file",
         "event_source_id",
         "generated_at",
         "position",
@@ -355,5 +358,6 @@ def markets(payloads: DataFrame, book: Book) -> DataFrame:
             external_event_id=blank_to_null(F.col("b.external_sport_event_id")),
             skipped_outcomes=F.size("outcomes") - F.size("selections"),
         ).alias("metadata"),
+        "payload_file",
         "position",
     )

@@ -93,7 +93,7 @@ def test_nested_markets(spark):
     assert (first.source_id, first.status, first.market_type, first.period, first.line) == ("b-1", "open", "moneyline", "full_time", None)
     assert first.metadata["skipped_outcomes"] == "1"
     assert [(s.source_id, s.selection_type, s.price.decimal_odds, s.price.is_available) for s in first.selections] == [
-        ("o-h", "home", Decimal("1.95000000"), True), ("d", "draw", None, False), ("sr:outcome:away", "away", Decimal("4.15000000"), True)]
+        ("o-h", "home", Decimal("1.85000000"), True), ("d", "draw", None, False), ("sr:outcome:away", "away", Decimal("4.15000000"), True)]
     assert (second.source_id, second.status, second.market_type, second.line) == ("closed-7", "suspended", "total", Decimal("2.5"))
     assert [(s.line, s.price.decimal_odds) for s in second.selections] == [(Decimal("2.5"), None)] * 2
 

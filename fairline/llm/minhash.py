@@ -152,7 +152,8 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     * the smaller ``common`` for all other pairs in a bucket.
 
     Sizes p <= q reach the similarity only if 100 m >= percent (p + q - m). For the second kind that is q <= high(p) and
-    p <= high(q) with high(s) = (100 + percent) common / percent - s, compared by joining on bins of sizes 2 % apart.
+    p <= high(q) with high(s) = (100 + percent) common / percent - s, compared by joining on bins of sizes whose bounds are the
+    similarity apart, so that p is in the bin of q or the one below.
     """
     apart = apart.where("size > 3")  # in smaller buckets the pivots have met every class
     held = apart.select("c", "label").distinct().join(sets, "c")
@@ -171,13 +172,13 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     both = both.groupBy("a", "b").agg(F.count("*").alias("r"), *[F.first(x).alias(x) for x in ("p", "q", "ca", "cb")])
     first = both.where(enough("r + least(ca, cb)")).select("a", "b")
 
-    bin_ = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.02)))
+    bin_ = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(100 / percent)))
     high = F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
     places = apart.join(counted.withColumn("high", high), "c")
     small = places.where("high >= n").select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("high").alias("ha"), bin_(F.col("n")).alias("bin"))
     low = F.ceil(F.col("n") * percent / 100)
     top = F.least("n", "high")
-    large = places.where(top >= low).select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("high").alias("hb"), F.explode(F.sequence(bin_(low), bin_(top))).alias("bin"))
+    large = places.where(top >= low).join(small.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("high").alias("hb"), F.explode(F.sequence(bin_(low), bin_(top))).alias("bin"))
     on = (F.col("la") != F.col("lb")) & F.expr(f"p <= q and 100 * p >= {percent} * q and q <= ha and p <= hb and (p < q or a < b)")
     return first.union(small.join(large, ["bucket", "bin"]).where(on).select("a", "b")).distinct()
 

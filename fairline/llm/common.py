@@ -36,3 +36,15 @@ def keys(*columns) -> list[Column]:
 def put(df: DataFrame, row: str, columns: list[str], **changed: Column) -> DataFrame:
     """The columns of struct ``row`` again, some of them replaced."""
     return df.select(*[(changed[c] if c in changed else F.col(f"{row}.`{c}`")).alias(c) for c in columns])
+
+
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH_ROWS rows: texts are long, and a batch is held by the JVM and the worker at once.
+
+    Spark has this as a setting of the session only, so it stays set there.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)

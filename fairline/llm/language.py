@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairline.llm.common import mapped
 from fairline.llm.words import parts
 
 DIMENSIONS = 1024
@@ -106,14 +107,14 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", dimension
     A task sends one vector for each language it met, so what the driver gets is languages x dimensions numbers.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(_bundler(dimensions), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    sums = mapped(rows, _bundler(dimensions), "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
     for row in sums.collect():
         found.setdefault(row["lang"], np.zeros(dimensions))[row["at"]] = row["value"]
     return found
 
 
-def _judge(prototypes: dict[str, np.ndarray], dimensions: int):
+def _judge(prototypes: dict[str, np.ndarray], dimensions: int, text: str):
     names = sorted(prototypes)
     profile = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names], np.float32).reshape(len(names), dimensions)
     common = profile.mean(0) if len(names) > 1 else np.zeros(dimensions, np.float32)
@@ -124,7 +125,8 @@ def _judge(prototypes: dict[str, np.ndarray], dimensions: int):
         for batch in parts(batches):
             lang: list[str] = []
             score: list[float] = []
-            for _, _, used, counts in _counted(batch.column("text").to_pylist()):
+            own = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text)
+            for _, _, used, counts in _counted(own.to_pylist()):
                 bundle = counts @ trigram_vectors(used, dimensions) if len(used) else np.zeros((len(counts), dimensions), np.float32)
                 size = np.linalg.norm(bundle, axis=1)
                 none = counts.sum(1) == 0 if len(used) else np.ones(len(counts), bool)
@@ -147,9 +149,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     rows get equal results, empty tables empty ones.
     """
     kept = docs.columns if carry is None else carry
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *([] if text in kept else [F.col(text).alias("text")]))
     kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_judge(prototypes, dimensions), f"row {kind}, lang_pred string, score double")
+    return mapped(slim, _judge(prototypes, dimensions, text), f"row {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

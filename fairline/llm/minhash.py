@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.common import keys, stage, whole
+from fairline.llm.common import keys, mapped, stage, whole
 from fairline.llm.graph import components
 from fairline.llm.words import U, mix, parts, shingle_sets
 
@@ -115,7 +115,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return stage(joined.mapInArrow(_verified(percent), f"a {_CLASS}, b {_CLASS}"), "links")
+    return stage(mapped(joined, _verified(percent), f"a {_CLASS}, b {_CLASS}"), "links")
 
 
 def _apart(places: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = bands_for(percent / 100, rows=rows)
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).select("id", "text", *keys("id", "text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
-    signed = stage(slim.mapInArrow(_signer(words, bands, rows), f"id {id_type}, k1 long, k2 long, n long, c {_CLASS}, bands array<long>"), "signed")
+    signed = stage(mapped(slim, _signer(words, bands, rows), f"id {id_type}, k1 long, k2 long, n long, c {_CLASS}, bands array<long>"), "signed")
     classes = signed.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("k"))
     classes = stage(classes, "classes")
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     wanted = popular.join(classes, "c").select("c", "k.k1", "k.k2")
     texts = slim.join(wanted, ["k1", "k2"]).select("c", "text")
-    sets = stage(texts.mapInArrow(_sets(words), f"c {_CLASS}, shingles binary").dropDuplicates(["c"]), "sets")
+    sets = stage(mapped(texts, _sets(words), f"c {_CLASS}, shingles binary").dropDuplicates(["c"]), "sets")
 
     labels = places.select(F.col("c").alias("node"), F.col("c").alias("label")).limit(0)
     links = None

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairline.llm.common import stage
+from fairline.llm.common import mapped, stage
 from fairline.llm.words import parts
 
 GRAIN = 16
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    pieces = slim.mapInArrow(_cutter(tokenizer, window, end_id, keep_ids), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    pieces = mapped(slim, _cutter(tokenizer, window, end_id, keep_ids), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
     pieces = stage(pieces, "pieces")
     counts = np.zeros(window + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # one row for each length, so at most ``window``

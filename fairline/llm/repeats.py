@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.bwt import repeated_starts, rolling
-from fairline.llm.common import stage
+from fairline.llm.common import mapped, stage
 from fairline.llm.words import U, mix, parts
 
 GRAM = 32
@@ -195,13 +195,13 @@ def _covered_by_segment(segments: DataFrame, length: int, hot_bytes: int) -> Dat
     met = rows.join(groups.where(f"(segments > 1 or weight > 1) and bytes <= {hot_bytes}").select("f", "bytes"), "f")
     size = groups.where(f"(segments > 1 or weight > 1) and bytes <= {hot_bytes}").agg(F.sum("bytes")).first()[0] or 0
     dealt = met.select("f", "s", "segment").repartition(max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // TASK_BYTES), "f").sortWithinPartitions("f", "s")
-    found = dealt.mapInArrow(_merged(length, BLOCK, CHUNK_BYTES), "s binary, covered array<long>")
+    found = mapped(dealt, _merged(length, BLOCK, CHUNK_BYTES), "s binary, covered array<long>")
     hot = groups.where(f"bytes > {hot_bytes}").select("f")
     if not hot.isEmpty():
-        strings = stage(rows.join(hot, "f").select("s", "segment", "many").mapInArrow(_strings(length), "h1 long, h2 long, s binary, at long"), "strings")
+        strings = stage(mapped(rows.join(hot, "f").select("s", "segment", "many"), _strings(length), "h1 long, h2 long, s binary, at long"), "strings")
         twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         places = strings.join(twice, ["h1", "h2"]).groupBy("s").agg(F.collect_list("at").alias("at"))
-        found = found.union(places.mapInArrow(_joined(length), "s binary, covered array<long>"))
+        found = found.union(mapped(places, _joined(length), "s binary, covered array<long>"))
     return sure.union(found.where("size(covered) > 0"))
 
 
@@ -214,20 +214,20 @@ def cut_texts(rows: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES) ->
     """``t1``, ``t2``, ``kept``, ``n_removed``, ``n_spans`` of the distinct texts that lose bytes."""
     long_ = rows.where(f"n_bytes >= {length}")
     texts = stage(long_.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
-    runs = stage(long_.select("t1", "t2", "text").mapInArrow(_fingerprints(length), "t1 long, t2 long, at long, n int, f long, weight int"), "runs")
+    runs = stage(mapped(long_.select("t1", "t2", "text"), _fingerprints(length), "t1 long, t2 long, at long, n int, f long, weight int"), "runs")
     shared = runs.groupBy("f").agg(F.sum("weight").alias("all")).where("all > 1").select("f")
     marked = runs.join(shared, "f").groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n", "f", "weight")).alias("runs"))
 
     # Of equal texts one is cut up, for all.
     once = long_.join(marked.join(texts, ["t1", "t2"]), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("rep")))
     once = stage(once.select("t1", "t2", "text", "runs", "copies").dropDuplicates(["t1", "t2"]), "marked")
-    pieces = stage(once.mapInArrow(_cut(length), "t1 long, t2 long, at long, copies long, weight long, f long, s binary, segment binary"), "segments")
+    pieces = stage(mapped(once, _cut(length), "t1 long, t2 long, at long, copies long, weight long, f long, s binary, segment binary"), "segments")
     segments = stage(pieces.groupBy("f", "s").agg(F.first("segment").alias("segment"), F.sum("copies").alias("many"), F.max("weight").alias("weight")), "distinct")
     by_segment = stage(_covered_by_segment(segments, length, hot_bytes), "covered")
 
     pair = F.explode(F.expr("transform(sequence(0, size(covered) - 1, 2), i -> named_struct('a', at + covered[i], 'b', at + covered[i + 1]))"))
     by_text = pieces.select("s", "t1", "t2", "at").join(by_segment, "s").select("t1", "t2", pair.alias("p")).groupBy("t1", "t2").agg(F.collect_set("p").alias("covered"))
-    return once.select("t1", "t2", "text").join(by_text, ["t1", "t2"]).mapInArrow(_removed(), "t1 long, t2 long, kept binary, n_removed long, n_spans long")
+    return mapped(once.select("t1", "t2", "text").join(by_text, ["t1", "t2"]), _removed(), "t1 long, t2 long, kept binary, n_removed long, n_spans long")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, hot_bytes: int = HOT_BYTES, digests: bool = False) -> DataFrame:

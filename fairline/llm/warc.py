@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.common import stage
+from fairline.llm.common import mapped, stage
 from fairline.session import shared_folder
 
 ARCHIVE_BYTES = 32 << 20
@@ -181,20 +181,20 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 def write_archives(written: DataFrame, folder: str) -> DataFrame:
     """Writes the rows of ``records`` to archives of one gzip stream in ``folder``; returns their names as ``file``."""
-    return stage(written.mapInArrow(_writer(folder), "file string"), "archives")
+    return stage(mapped(written, _writer(folder), "file string"), "archives")
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
     """Rewrites archives (``file``, in ``folder``) with a gzip member for each record and a sidecar index beside each new
     archive. Returns the index: ``file``, ``offset``, ``length``."""
     spread = files.repartition(max(1, files.count()), "file")
-    return stage(spread.mapInArrow(_normaliser(folder), "file string, offset long, length long"), "members")
+    return stage(mapped(spread, _normaliser(folder), "file string, offset long, length long"), "members")
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
     """The records named by an index: ``id``, ``url``, ``refers_to``, ``record_type``, ``payload_digest``,
     ``payload_bytes``, ``payload`` (null for a revisit). A response's payload is checked against its digest."""
-    return index.mapInArrow(_reader(folder), "id string, url string, refers_to string, record_type string, payload_digest string, payload_bytes long, payload binary")
+    return mapped(index, _reader(folder), "id string, url string, refers_to string, record_type string, payload_digest string, payload_bytes long, payload binary")
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:

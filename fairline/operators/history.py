@@ -104,6 +104,28 @@ def latest(quotes: DataFrame, series: list[str], order: list[str], values: list[
     )
 
 
+def sessions(rows: DataFrame, series: list[str], time: str, gap_seconds: int, unit: str = SLICE) -> DataFrame:
+    """Runs of rows less than a gap apart: ``session_start``, ``last_quote`` and ``n_quotes``.
+
+    Runs are cut inside (series, time slice) first. Across slices only these runs are ordered and stitched, of which a slice has no
+    more than its length divided by the gap.
+    """
+    apart = lambda at, before: before.isNull() | (at - before >= gap_seconds * 1_000_000)
+    timed = _with_slice(rows, time, unit).withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+    inside = Window.partitionBy(*series, "__slice").orderBy("__at")
+    begun = timed.withColumn("__new", apart(F.col("__at"), F.lag("__at").over(inside)).cast("int"))
+    numbered = begun.withColumn("__run", F.sum("__new").over(inside))
+    runs = numbered.groupBy(*series, "__slice", "__run").agg(
+        F.min(time).alias("__first"), F.max(time).alias("__last"), F.min("__at").alias("__from"), F.max("__at").alias("__to"), F.count("*").alias("__n")
+    )
+    across = Window.partitionBy(*series).orderBy("__from")
+    stitched = runs.withColumn("__new", apart(F.col("__from"), F.lag("__to").over(across)).cast("int"))
+    stitched = stitched.withColumn("__session", F.sum("__new").over(across))
+    return stitched.groupBy(*series, "__session").agg(
+        F.min("__first").alias("session_start"), F.max("__last").alias("last_quote"), F.sum("__n").alias("n_quotes")
+    ).drop("__session")
+
+
 def as_of(
     quotes: DataFrame, moment: Column, time: str, series: list[str], order: list[str], values: list[str]
 ) -> DataFrame:

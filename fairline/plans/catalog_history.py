@@ -137,12 +137,8 @@ def change_only_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def quiet_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of activity with gaps under thirty minutes, per book."""
-    sessions = views.ticks(spark, folder).groupBy("bookmaker", F.session_window("ts", "30 minutes").alias("s")).agg(
-        F.count("*").alias("n_quotes"), F.max("ts").alias("last_quote")
-    )
-    return sessions.select(
-        "bookmaker", F.col("s.start").cast("timestamp_ntz").alias("session_start"), "last_quote", "n_quotes"
-    )
+    found = history.sessions(views.ticks(spark, folder), ["bookmaker"], "ts", 1800)
+    return found.withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
 
 
 def _keyed_ticks(spark: SparkSession, folder: str) -> DataFrame:

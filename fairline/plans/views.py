@@ -11,12 +11,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the session has cores.
-
-    Worth it before work that is heavy per row; a scan with enough splits is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """Deal out the rows of a scan evenly, before work that is heavy per row and so needs more tasks than the scan has splits."""
+    return scan.repartition(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,6 +33,7 @@ def local_session(cores: str = "8", app_name: str = "fairline") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

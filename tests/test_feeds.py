@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from fairline.sources import keyed_feed, nested_feed
+from fairline.sources import keyed_feed, nested_feed, payloads
 
 BOOK = nested_feed.Book(id="sr:book:40417", name="Wanted Book")
 
@@ -198,3 +198,14 @@ def test_keyed_gates(spark):
     assert keyed_feed.coverage(payload(spark, [{"slug": "keyed", "active": True}]), "keyed").first().healthy
     assert not keyed_feed.coverage(payload(spark, [{"slug": "keyed"}]), "keyed").first().healthy
     assert [r.source_id for r in keyed_feed.sports(payload(spark, [{"sportId": 10, "sportName": "Handball"}, {"sportName": "x"}])).collect()] == ["10"]
+
+
+def test_bad_payloads_are_set_aside(spark):
+    good = {"schedules": [{"sport_event": {"id": "e1", "start_time": "2027-02-06T14:20:00Z", "sport": {"id": "s"}}}]}
+    rows = [(json.dumps(good),), ("{",), ("[]",), ('{"schedules": "x"}',), (None,), ('{"other": []}',)]
+    landed = spark.createDataFrame(rows, "payload string")
+    sound, rejected = payloads.sound_and_rejected(landed, payloads.object_problem("schedules", "sport_events"))
+    assert [r.source_id for r in nested_feed.events(sound, BOOK).collect()] == ["e1"]
+    assert rejected.count() == 5 and rejected.filter("problem IS NULL").count() == 0
+    listed = spark.createDataFrame([("[]",), ("[{}",), ("{}",), (None,)], "payload string")
+    assert payloads.sound_and_rejected(listed, payloads.list_problem())[0].count() == 1

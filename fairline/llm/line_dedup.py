@@ -41,9 +41,12 @@ def repeated_lines(docs: DataFrame, window: int) -> DataFrame:
     windows = _windows(docs, window)
     place = F.struct("id", "k1", "k2", "at")
     marks = windows.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("mark")
+    # Written before it is joined: a join of its own exchanges can split the rows of a hot line over tasks.
+    marks = stage(marks, "marks")
     matched = stage(windows.join(marks, "mark").drop("mark", "at"), "line-windows")
     begin = F.struct("id", "k1", "k2", "start")
     firsts = matched.groupBy("a", "b").agg(F.min(begin).alias("first"), F.max(begin).alias("last")).where("first <> last").select("a", "b", "first")
+    firsts = stage(firsts, "firsts")
     later = matched.join(firsts, ["a", "b"]).where(begin > F.col("first"))
     return later.select("k1", "k2", F.explode("lines").alias("i")).groupBy("k1", "k2").agg(F.collect_set("i").alias("gone"))
 

@@ -122,12 +122,15 @@ def _apart(places: DataFrame, labels: DataFrame) -> DataFrame:
     """Places (``bucket``, ``c``, ...) with their component's label, of the buckets that still hold two components."""
     named = places.join(labels, F.col("c") == F.col("node"), "left").select(*places.columns, F.coalesce("label", "c").alias("label"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    # Tables that rows are joined back to by the key they were grouped by are written first: the join then has exchanges of its
+    # own and can split the rows of a hot bucket over tasks.
+    open_ = stage(open_, "open")
     return stage(named.join(open_, "bucket"), "apart")
 
 
 def _with_pivot(apart: DataFrame) -> DataFrame:
     """Pairs of each class with the most popular class of its bucket."""
-    pivots = apart.groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("p"))
+    pivots = stage(apart.groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("p")), "pivots")
     pairs = apart.join(pivots, "bucket").where("label <> p.label")
     return pairs.select(F.col("c").alias("a"), F.col("p.c").alias("b")).distinct()
 
@@ -135,9 +138,9 @@ def _with_pivot(apart: DataFrame) -> DataFrame:
 def _with_second_pivot(apart: DataFrame) -> DataFrame:
     """Pairs of each class with the most popular class outside the component of its bucket's first pivot."""
     apart = apart.where("size > 2")
-    top = apart.groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("top"))
+    top = stage(apart.groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("top")), "top")
     rest = apart.join(top, "bucket")
-    pivots = rest.where("label <> top.label").groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("p"))
+    pivots = stage(rest.where("label <> top.label").groupBy("bucket").agg(F.max(F.struct("popular", "c", "label")).alias("p")), "pivots")
     pairs = rest.join(pivots, "bucket").where("label <> p.label and c <> top.c")
     return pairs.select(F.col("c").alias("a"), F.col("p.c").alias("b")).distinct()
 
@@ -159,7 +162,7 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     held = apart.select("c", "label").distinct().join(sets, "c")
     each = held.select("c", "label", (F.length("shingles") / 8).cast("long").alias("n"), F.explode(F.expr("transform(sequence(0, int(length(shingles) / 8) - 1), i -> substring(shingles, i * 8 + 1, 8))")).alias("s"))
     each = stage(each, "shingles")
-    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stage(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     marked = stage(each.join(shared, "s"), "shared")
     counted = marked.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("u"), F.count_if(F.col("df") > RARE).alias("common"))
     counted = stage(counted.where(f"100 * u >= {percent} * n"), "counted")
@@ -199,7 +202,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stage(classes, "classes")
 
     places = classes.select("c", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stage(places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     places = stage(places.join(shared, "bucket"), "places")
     popular = places.groupBy("c").agg(F.sum("size").alias("popular"))
     places = places.join(popular, "c")

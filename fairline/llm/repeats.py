@@ -189,6 +189,7 @@ def _removed():
 def _covered_by_segment(segments: DataFrame, length: int, hot_bytes: int) -> DataFrame:
     """``s`` and ``covered`` of the distinct segments (``f``, ``s``, ``segment``, ``many``, ``weight``)."""
     groups = segments.groupBy("f").agg(F.count("*").alias("segments"), F.sum(F.length("segment")).alias("bytes"), F.max("weight").alias("weight"))
+    groups = stage(groups, "groups")
     # A segment that occurs several times is covered whole; it still bears witness for the others of its fingerprint.
     sure = segments.where("many > 1").select("s", F.array(F.lit(0).cast("long"), F.length("segment").cast("long")).alias("covered"))
     rows = segments.select("f", "s", "segment", "many")
@@ -216,6 +217,7 @@ def cut_texts(rows: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES) ->
     texts = stage(long_.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
     runs = stage(mapped(long_.select("t1", "t2", "text"), _fingerprints(length), "t1 long, t2 long, at long, n int, f long, weight int"), "runs")
     shared = runs.groupBy("f").agg(F.sum("weight").alias("all")).where("all > 1").select("f")
+    shared = stage(shared, "shared")  # so that the join has exchanges of its own and can split a hot fingerprint
     marked = runs.join(shared, "f").groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n", "f", "weight")).alias("runs"))
 
     # Of equal texts one is cut up, for all.

@@ -39,18 +39,24 @@ _STATUS = {
     "suspended": "suspended", "interrupted": "suspended",
 }
 
-# Provider market names and ids with a certain meaning, as type/period.
+# Provider market names and ids with a certain meaning, as (type, period).
 _NAME_MEANING = {
-    "1x2": "moneyline/full_time", "2way": "moneyline/full_time", "3way": "moneyline/full_time",
-    "total": "total/full_time", "spread": "spread/full_time", "1x2_half_time": "moneyline/first_half",
+    "1x2": ("moneyline", "full_time"),
+    "2way": ("moneyline", "full_time"),
+    "3way": ("moneyline", "full_time"),
+    "total": ("total", "full_time"),
+    "spread": ("spread", "full_time"),
+    "1x2_half_time": ("moneyline", "first_half"),
 }
-_ID_MEANING = {"1": "moneyline/full_time", "18": "total/full_time", "60": "moneyline/first_half"}
+_ID_MEANING = {"1": ("moneyline", "full_time"), "18": ("total", "full_time"), "60": ("moneyline", "first_half")}
 
 # Documented market ids whose meaning is outside the supported registry.
-_UNSUPPORTED_IDS = (
-    "11 14 19 20 23 26 47 64 66 68 69 70 74 83 94 219 220 223 225 227 228 231 232 234 235 236 251 256 260 261 "
-    "274 275 276 293 294 302 303 304 1123 1124 6022 6023 6024 6025 6026 6027 6028 6029 6030 6031 6032 8010 8011"
-).split()
+_UNSUPPORTED_IDS = [
+    "11", "14", "19", "20", "23", "26", "47", "64", "66", "68", "69", "70", "74", "83", "94", "219", "220", "223",
+    "225", "227", "228", "231", "232", "234", "235", "236", "251", "256", "260", "261", "274", "275", "276", "293",
+    "294", "302", "303", "304", "1123", "1124", "6022", "6023", "6024", "6025", "6026", "6027", "6028", "6029", "6030",
+    "6031", "6032", "8010", "8011",
+]
 
 # Selection types each market type allows.
 _ALLOWED = {"moneyline": ["home", "away", "draw"], "total": ["over", "under"], "spread": ["home", "away"]}
@@ -209,9 +215,9 @@ def _selection(outcome: Column, removed: Column, generated_at: Column) -> Column
 
 def market_meaning(name: Column, market_id: Column) -> Column:
     """``type/period`` from the provider's name and id; null when unsupported or contradictory."""
-    by_name = lookup(_NAME_MEANING, provider_token(name))
+    by_name = lookup({k: "/".join(v) for k, v in _NAME_MEANING.items()}, provider_token(name))
     number = numeric_id_suffix(market_id)
-    by_id = lookup(_ID_MEANING, number)
+    by_id = lookup({k: "/".join(v) for k, v in _ID_MEANING.items()}, number)
     clash = by_name.isNotNull() & by_id.isNotNull() & (by_name != by_id)
     unsupported = F.coalesce(number.isin(_UNSUPPORTED_IDS), F.lit(False))
     return F.when(~(unsupported | F.coalesce(clash, F.lit(False))), F.coalesce(by_id, by_name))

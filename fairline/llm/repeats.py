@@ -201,6 +201,7 @@ def _covered_by_segment(segments: DataFrame, length: int, hot_bytes: int) -> Dat
     if not hot.isEmpty():
         strings = stage(mapped(rows.join(hot, "f").select("s", "segment", "many"), _strings(length), "h1 long, h2 long, s binary, at long"), "strings")
         twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+        twice = stage(twice, "twice")
         places = strings.join(twice, ["h1", "h2"]).groupBy("s").agg(F.collect_list("at").alias("at"))
         found = found.union(mapped(places, _joined(length), "s binary, covered array<long>"))
     return sure.union(found.where("size(covered) > 0"))

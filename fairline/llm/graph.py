@@ -25,3 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = lower.select("node", "label")
         if lower.where("label <> old").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of a graph after ``links`` (``a``, ``b``) are added to it; only the components they join are worked on."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = components(named).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    known = labels.join(joined, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    new = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("lower").alias("label"))
+    return stage(known.union(new), "labels")

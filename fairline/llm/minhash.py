@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.common import keys, mapped, stage, whole
-from fairline.llm.graph import components
+from fairline.llm.graph import extended
 from fairline.llm.words import U, mix, parts, shingle_sets
 
 ROWS_PER_BAND = 4
@@ -212,14 +212,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stage(mapped(texts, _sets(words), f"c {_CLASS}, shingles binary").dropDuplicates(["c"]), "sets")
 
     labels = places.select(F.col("c").alias("node"), F.col("c").alias("label")).limit(0)
-    links = None
     for pairs_of in (_with_pivot, _with_second_pivot, lambda apart: _possible_pairs(apart, sets, percent)):
         apart = _apart(places, labels)
         if apart.isEmpty():
             break
-        found = _links(pairs_of(apart), sets, percent)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = extended(labels, _links(pairs_of(apart), sets, percent))
 
     named = classes.join(labels, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -17,6 +17,7 @@ from fairline.llm.minhash import near_duplicates
 from fairline.llm.packing import pack, word_tokenizer
 
 MIN_SCORE = 0.01  # cosine with the best prototype; what is below resembles no language
+LONG_LINE = 50  # words; a line of so many counts as a run by itself
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two lines or more go from the texts; a document with no word left goes."""
-    out = remove_repeated_runs(docs, window=2)
+    """Later copies of runs of two lines or more, and of single long lines, go from the texts; a document with no word left goes."""
+    out = remove_repeated_runs(docs, window=2, long_words=LONG_LINE)
     left = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     chars = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text"))
     return put(left, "row", docs.columns, text=F.col("kept_text"), n_chars=chars.cast("long"))

@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fairline.llm.bwt import repeated_starts
 from fairline.llm.line_dedup import remove_repeated_runs
 from fairline.llm.minhash import near_duplicates, signatures
@@ -86,6 +88,39 @@ def test_line_runs_agree_with_the_model(spark):
     assert remove_repeated_runs(documents(spark, [])).collect() == []
 
 
+def model_long_lines(rows, long_words):
+    """Texts after deletion of later runs of two lines and later single lines of ``long_words`` words."""
+    seen, out = set(), {}
+    for has, d, t in sorted({(d is not None, d or 0, t) for d, t in rows if t is not None}):
+        lines = t.split("\n")
+        full = [i for i, line in enumerate(lines) if WORD.search(line)]
+        windows = [full[s : s + 2] for s in range(len(full) - 1)] + [[i] for i in full if len(WORD.findall(lines[i])) >= long_words]
+        gone = set()
+        for at in sorted(windows):
+            key = tuple(lines[i] for i in at)
+            if key in seen:
+                gone |= set(at)
+            seen.add(key)
+        out[(d if has else None, t)] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return Counter((d, *(out[(d, t)] if t is not None else (None, 0, 0))) for d, t in rows)
+
+
+def test_single_long_lines_agree_with_the_model(spark):
+    line = " ".join(f"w{i}" for i in range(50))
+    less, spaced = line.rsplit(" ", 1)[0], "\t " + line.replace(" ", " \x0b\r ") + "  "
+    rows = TEXTS + [
+        (70, f"own start\n{line}\nown end"), (71, f"other start\n{line}\nother end"), (72, line), (72, line), (73, f"{line}\n{line}"), (None, line),
+        (74, f"a\n{less}\nb"), (75, f"c\n{less}\nd"), (76, f"e\n{spaced}\nf"), (77, f"g\n{spaced}\nh"), (78, "x" * 100_000), (79, "y\n" + "x" * 100_000),
+    ]
+    got = remove_repeated_runs(documents(spark, rows), window=2, long_words=50).collect()
+    found = Counter((r["row"]["doc_id"], r["kept_text"], r["n_lines"], r["n_removed"]) for r in got)
+    assert found == model_long_lines(rows, 50)
+    assert found[(71, "other start\nother end", 3, 1)] == 1 and found[(72, "", 1, 1)] == 2 and found[(75, f"c\n{less}\nd", 3, 0)] == 1 and found[(77, "g\nh", 3, 1)] == 1
+    docs = documents(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").where("doc_id >= 70").collect()}
+    assert left[71] == "other start\nother end" and 72 not in left and 73 not in left and left[79] == "y\n" + "x" * 100_000
+
+
 def model_repeats(rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
     counts = Counter(b[p : p + length] for _, b in texts for p in range(len(b) - length + 1))

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 from fairline.llm.common import put, stage, table
 from fairline.llm.decontaminate import remove_contaminated
-from fairline.llm.language import identify, learn
+from fairline.llm.language import identify, learn, score_limits, size_class
 from fairline.llm.line_dedup import remove_repeated_runs
 from fairline.llm.minhash import near_duplicates
 from fairline.llm.packing import pack, word_tokenizer
 
-MIN_SCORE = 0.01  # cosine with the best prototype; what is below resembles no language
+MIN_SCORE = 0.01  # cosine with the best prototype; what is below resembles no language, whatever the limits learned from the labels
 LONG_LINE = 50  # words; a line of so many counts as a run by itself
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, or like none of the languages learned from ``lang``, go."""
-    judged = identify(docs, learn(docs))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+    """Documents in a language: those without a letter, or like none of the languages learned from ``lang``, go.
+
+    Like a language means a score that labelled documents of the same size have; see ``score_limits``.
+    """
+    judged = stage(identify(docs, learn(docs)), "judged")
+    limits = F.create_map(*[F.lit(x) for pair in score_limits(judged, MIN_SCORE).items() for x in pair])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.element_at(limits, size_class()))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ largest cosine with it, after what all languages have in common is taken off the
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.common import mapped
@@ -23,6 +24,8 @@ DIMENSIONS = 1024
 SYMBOLS = 64  # 0 is the gap between words
 _TABLE_SIZE = 0x30000  # code points beyond it have no letters in use here; they count as their remainder
 _SLICE_CHARS = 1 << 19
+STEP = 2.0**-10  # scores are counted by steps of this size to find their limits; exact in binary
+SIZE_CLASSES = 32  # texts have less than 2**31 letters
 _SEED = 20240607
 _ready: dict = {}
 
@@ -125,6 +128,7 @@ def _judge(prototypes: dict[str, np.ndarray], dimensions: int, text: str):
         for batch in parts(batches):
             lang: list[str] = []
             score: list[float] = []
+            letters: list[int] = []
             own = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text)
             for _, _, used, counts in _counted(own.to_pylist()):
                 bundle = counts @ trigram_vectors(used, dimensions) if len(used) else np.zeros((len(counts), dimensions), np.float32)
@@ -136,22 +140,57 @@ def _judge(prototypes: dict[str, np.ndarray], dimensions: int, text: str):
                 cosine = np.zeros(len(counts)) if not names else (bundle * profile[best]).sum(1) / np.maximum(size, 1e-12)
                 lang += ["und" if u else names[b] for u, b in zip(none, best, strict=True)]
                 score += [0.0 if u else float(min(1.0, max(0.0, c))) for u, c in zip(none, cosine, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+                letters += counts.sum(1, dtype=np.float64).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64())], ["row", "lang_pred", "score", "n_letters"])
 
     return run
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", carry: list[str] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Every row of ``docs`` as struct ``row`` (all columns, or those in ``carry``) with ``lang_pred`` and ``score``.
+    """Every row of ``docs`` as struct ``row`` (all columns, or those in ``carry``) with ``lang_pred``, ``score`` and ``n_letters``.
 
-    ``score`` is the cosine with the language's prototype, 0 to 1. A null text, one without a letter, or any text if no
+    ``score`` is the cosine with the language's prototype, 0 to 1; ``n_letters`` is the number of trigrams, one for each letter. A null text, one without a letter, or any text if no
     language was learned gets ``und`` and 0. Only the text is looked at; ties go to the first language by name. Repeated
     rows get equal results, empty tables empty ones.
     """
     kept = docs.columns if carry is None else carry
     slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *([] if text in kept else [F.col(text).alias("text")]))
     kind = slim.schema["row"].dataType.simpleString()
-    return mapped(slim, _judge(prototypes, dimensions, text), f"row {kind}, lang_pred string, score double")
+    return mapped(slim, _judge(prototypes, dimensions, text), f"row {kind}, lang_pred string, score double, n_letters long")
+
+
+def size_class(n_letters: str = "n_letters") -> Column:
+    """The power of two that a number of letters reaches."""
+    return F.length(F.bin(n_letters)) - 1
+
+
+def score_limits(judged: DataFrame, least: float, lang: str = "row.lang", per_mille: int = 1, rows: int = 100) -> dict[int, float]:
+    """The lowest score of a text in a language, by size class, learned from the rows recognised as what their label says.
+
+    The limit of a class is the ``per_mille`` quantile (rounded down to STEP) of its labelled rows. A class with fewer than ``rows``
+    rows takes in the next shorter ones, whose scores are lower; if all of them are too few, the limit is ``least``, which is
+    also the lowest. The driver gets counts by class and step of the score, not by rows.
+    """
+    right = judged.where((F.col(lang) == F.col("lang_pred")) & (F.col("n_letters") > 0))
+    held: dict[int, dict[int, int]] = {}
+    for at, step, n in right.groupBy(size_class().alias("at"), F.floor(F.col("score") / STEP).alias("step")).count().collect():
+        held.setdefault(at, {})[step] = n
+    limits: dict[int, float] = {}
+    for at in range(SIZE_CLASSES):
+        found: Counter[int] = Counter()
+        for shorter in range(at, -1, -1):
+            found.update(held.get(shorter, {}))
+            if found.total() >= rows:
+                break
+        limits[at] = least
+        if found.total() >= rows:
+            under = found.total() * per_mille // 1000
+            for step in sorted(found):
+                under -= found[step]
+                if under < 0:
+                    limits[at] = max(least, step * STEP)
+                    break
+    return limits
 
 
 def held_out(doc_id: str = "doc_id"):

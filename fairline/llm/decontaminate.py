@@ -47,6 +47,11 @@ def _slots(words: str) -> str:
         else case when w in ({_UNITS_AFTER_NUMBER}) and i > 0 and ascii({words}[i - 1]) = 2 then '\u0003' else w end end)"""
 
 
+def _raw(words: str) -> str:
+    """SQL: the words without their marks, so it doesn't matter which of them were taken for names."""
+    return f"filter(transform({words}, w -> translate(w, '\u0001\u0002', '')), w -> w <> '')"
+
+
 def _hashed(docs: DataFrame, *carried: str) -> DataFrame:
     """``carried``, ``i`` and ``hash``: a row for each window of the ``words``; texts with fewer words have none.
 
@@ -63,19 +68,46 @@ def _hashed(docs: DataFrame, *carried: str) -> DataFrame:
     return at.select(*carried, F.posexplode_outer("hashes").alias("i", "hash")).where("hash is not null")
 
 
+def _raw_hashed(docs: DataFrame, lengths: list[int], *carried: str) -> DataFrame:
+    """``carried``, ``i``, ``length`` and ``hash``: a row for each window of each of ``lengths`` words of the raw ``words``."""
+    at = docs.withColumn("raw", F.expr(f"transform({_raw('words')}, w -> xxhash64(w))"))
+    window = "transform(sequence(1, greatest(1, size(raw) - {0} + 1)), p -> named_struct('i', p - 1, 'length', {0}, 'hash', case when size(raw) >= {0} then xxhash64({0}, slice(raw, p, {0})) end))"
+    at = at.select(*carried, F.explode_outer(F.expr(f"concat({', '.join(window.format(n) for n in lengths)})")).alias("w"))
+    return at.select(*carried, "w.*").where("hash is not null")
+
+
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """``item``, ``words``, ``slots`` of the distinct items with a full window."""
-    words = benchmark.select(F.col(item_id).alias("item"), template_words(text).alias("words")).where(F.size("words") >= WINDOW).distinct()
+    """``item``, ``words``, ``slots`` of the distinct items with a word."""
+    words = benchmark.select(F.col(item_id).alias("item"), template_words(text).alias("words")).where(F.size("words") > 0).distinct()
     return words.withColumn("slots", F.expr(_slots("words")))
 
 
+def _word_for_word(worded: DataFrame, items: DataFrame, totals: DataFrame) -> DataFrame | None:
+    """What ``find_items`` gives, for the items that have no ``totals``; None if there are none."""
+    known = items.select("item", F.xxhash64("words").alias("version"), "words", F.least(F.lit(WINDOW), F.expr(f"size({_raw('words')})")).alias("n")).where("n > 0")
+    rest = stage(known.join(totals, (known["item"].eqNullSafe(totals["item"])) & (known["version"] == totals["version"]), "left_anti"), "raw-items")
+    lengths = sorted(r["n"] for r in rest.select("n").distinct().collect())  # at most WINDOW of them
+    if not lengths:
+        return None
+    windows = stage(_raw_hashed(rest, lengths, "item", "version", "n").where("n = length").drop("n"), "raw-windows")
+    counts = windows.groupBy(F.col("item").alias("of"), F.col("version").alias("v")).agg(F.count("*").alias("n_windows"))
+    windows = stage(windows.join(counts, F.col("item").eqNullSafe(F.col("of")) & (F.col("version") == F.col("v"))).drop("of", "v"), "raw-windows")
+    places = _raw_hashed(worded, lengths, "id", "k1", "k2").withColumnRenamed("i", "at")
+    hits = places.join(F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows, ["length", "hash"])
+    # An item of one window is found anywhere; else its windows must follow each other.
+    hits = hits.select("id", "k1", "k2", "item", "version", "n_windows", "i", F.when(F.col("n_windows") > 1, F.col("at") - F.col("i")).otherwise(0).alias("shift")).distinct()
+    full = hits.groupBy("id", "k1", "k2", "item", "version", "n_windows", "shift").agg(F.count("*").alias("n_matched")).where("n_matched = n_windows")
+    return full.select("id", "k1", "k2", "item", "version", "n_windows", "n_matched", F.lit(False).alias("reparameterised")).distinct().drop("version")
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: int = 50) -> DataFrame:
     """A row for each document and item found in it: ``id``, ``k1``, ``k2``, ``item``, ``n_windows`` (of the item),
     ``n_matched`` (of these in the document) and ``reparameterised`` (some slot has another value).
 
     Found means that at least ``coverage`` per cent of the item's windows match with consistent slots. Windows of which
-    half or more are placeholders don't count. Null texts and texts shorter than a window match nothing, nor do items
-    shorter than a window. Rows that repeat in id and text are one document; items that repeat in id and text one item; an id
+    half or more are placeholders don't count. An item without any other window, as it is shorter than a window or full of
+    placeholders, is found where all of its words follow each other unchanged (in any case, without punctuation); ``n_windows`` counts
+    windows of these words then, one for a shorter item. Null texts and items without a word match nothing. Rows that repeat in id and text are one document; items that repeat in id and text one item; an id
     used for several texts stands for each. Null ids are values. Empty tables give an empty result.
     """
     items = stage(_items(benchmark, item_id, item_text), "items")
@@ -105,7 +137,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     # Windows without a slot need no check; they match the same words.
     matched = shut.union(filled).groupBy("id", "k1", "k2", "item", "version").agg(F.count_distinct("i").alias("n_matched"), F.max("other").alias("reparameterised"))
     found = matched.join(totals, (matched["item"].eqNullSafe(totals["item"])) & (matched["version"] == totals["version"])).drop(totals["item"]).drop(totals["version"])
-    return found.where(F.col("n_matched") * 100 >= coverage * F.col("n_windows")).select("id", "k1", "k2", "item", "n_windows", "n_matched", "reparameterised")
+    found = found.where(F.col("n_matched") * 100 >= coverage * F.col("n_windows")).select("id", "k1", "k2", "item", "n_windows", "n_matched", "reparameterised")
+    copied = _word_for_word(worded, items, totals)
+    return found if copied is None else found.union(copied)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

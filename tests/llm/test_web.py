@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import re
 from collections import Counter
 
 from pyarrow import fs
@@ -104,3 +105,34 @@ def test_items_are_found_with_other_slots(spark):
     left = remove_contaminated(docs, items).collect()
     assert Counter(r["doc_id"] for r in left) == Counter(d for d, _ in texts if d not in {d for d, _ in got})
     assert remove_contaminated(docs.limit(0), items).collect() == [] and remove_contaminated(docs, items.limit(0)).count() == len(texts)
+
+
+SHORT = [
+    (10, "Compute 12 + 7 * 3 - 5 with 8 and 9"), (11, "Name the largest moon."), (12, "Wer schrieb Faust?"), (None, "1 2 3 4 5 6 7 8 9 10 11 12"), (13, "?!"), (14, None),
+    (15, "Osmium"), (16, "the quick brown fox jumps over the lazy dog and then sleeps"), (11, "Which of Rome, Paris, London, Madrid, Berlin, Vienna, Lisbon, Athens is it"),
+]
+
+
+def raw_words(text):
+    return re.sub(r"(\d+)", r" \1 ", re.sub(r"[^\w\x20\x09-\x0D]+|_", "", (text or "").lower())).split()
+
+
+def test_items_without_template_windows_are_found_word_for_word(spark):
+    texts = TEXTS + [
+        (80, "First: compute 12 7 3 5\nwith 8, and 9. Then rest."), (81, "Compute 13 + 7 * 3 - 5 with 8 and 9"), (82, "Compute 12 + 7 * 3 - 5 with 8 or 9"),
+        (83, "please NAME THE largest, Moon"), (84, "name the largest red moon"), (85, "Und wer schrieb Faust"), (86, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"),
+        (87, "1 2 3 4 5 6 7 8 9 10 11 5 6 7 8 9 10 11 12"), (88, "osmium and osmium"), (88, "osmium and osmium"), (89, "osmiums"), (90, "so which of rome paris london madrid berlin vienna lisbon athens is it"),
+        (91, "which of rome paris london madrid berlin vienna lisbon athens"), (None, "Osmium"),
+    ]
+    docs, items = documents(spark, texts), spark.createDataFrame([(*i, "x") for i in SHORT], "item_id long, text string, id string")
+    got = Counter((r["id"], r["item"], r["n_windows"], r["n_matched"], r["reparameterised"]) for r in find_items(docs, items).where("item is null or item <> 16").collect())
+    wanted = Counter()
+    for d, t in {x for x in texts if x[1] is not None}:
+        words = raw_words(t)
+        for i, item in SHORT:
+            of = raw_words(item)
+            if of and i != 16 and any(words[s : s + len(of)] == of for s in range(len(words))):
+                wanted[(d, i, max(1, len(of) - 7), max(1, len(of) - 7), False)] += 1
+    assert got == wanted and {(d, i) for d, i, *_ in got} == {(80, 10), (83, 11), (85, 12), (86, None), (88, 15), (90, 11), (None, 15)}
+    left = remove_contaminated(docs, items).collect()
+    assert {r["doc_id"] for r in left} & set(range(80, 92)) == {81, 82, 84, 87, 89, 91}

@@ -54,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
-ORACLE_SQL = None  # language profiles and tokens are beyond SQL; tests/llm compares the run with brute force
+ORACLE_SQL = None  # language profiles and tokens are beyond SQL; tests/llm compares the run with its own stages, and some stages with plain models
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

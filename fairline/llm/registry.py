@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_dedup", "queries_benchmark", "queries_text", "queries_web", "queries_vectors")
+_MODULES = ("queries_dedup", "queries_benchmark", "queries_text", "queries_web", "queries_vectors", "queries_audit")
 
 
 def registered() -> dict:

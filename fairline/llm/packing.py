@@ -26,20 +26,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.llm.common import mapped, stage
-from fairline.llm.words import parts
+from fairline.llm.words import SPACE, parts, slices, word_bounds
 
 GRAIN = 16
 CACHED_WORDS = 1_200_000
 GROUP_ROWS = 1000  # rests ranked together, about
 
 _loaded: dict = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z
 
 
-def _encoder(path: str):
-    """UTF-8 text to the bytes of its ids (little-endian unsigned 32-bit). Words are looked up, so each is encoded once.
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts that lie behind one another, and where each text's words end among them.
+
+    A-Z count as a-z but in a text that may name a special token.
+    """
+    named = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    folded = _LOWER[data]
+    for text in np.unique(np.searchsorted(offsets, named, "right") - 1):
+        folded[offsets[text] : offsets[text + 1]] = data[offsets[text] : offsets[text + 1]]
+    starts, ends = word_bounds(data, offsets)
+    places = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=places[1:])
+    held = folded[~SPACE[data]]
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(held)])
+    return words, np.searchsorted(starts, offsets[1:])
+
+
+def _encoder(path: str, end_id: int):
+    """Texts of a column to their ids, each followed by the end id: runs of (ids of several texts, where each text ends).
 
     White space separates words in this tokenizer's own rules and is dropped, and letters count as lower-case ones, so a text's
-    ids are those of its words with A-Z as a-z. Only a text that may name a special token keeps its capitals.
+    ids are those of its words with A-Z as a-z. Only a text that may name a special token keeps its capitals. The distinct words of
+    a run are looked up, those not met before are encoded, and the ids are gathered from them in one go.
     """
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,40 +67,49 @@ def _encoder(path: str):
 
         _loaded[path] = (Tokenizer.from_file(path), {})
     tokenizer, known = _loaded[path]
+    last = end_id.to_bytes(4, "little")
 
-    def encode(texts: list[bytes]) -> Iterator[bytes]:
-        for begin in range(0, len(texts), 256):
-            part = [t.split() if b"<|" in t else t.lower().split() for t in texts[begin : begin + 256]]
+    def encode(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, data, offsets in slices(column):
+            words, ends = _words(data, offsets)
+            coded = words.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
             if len(known) > CACHED_WORDS:
                 known.clear()
-            new = list({w for words in part for w in words if w not in known})
+            new = [w for w in distinct if w not in known]
             for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-            for words in part:
-                yield b"".join(map(known.__getitem__, words))
+            held = [*map(known.__getitem__, distinct), last]
+            values = np.frombuffer(b"".join(held), "<u4")
+            sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            begins = np.cumsum(sizes) - sizes
+            # The end of a text is one more word, whose entry is the last.
+            order = np.insert(np.asarray(coded.indices, np.int64), ends, len(distinct))
+            many = sizes[order]
+            upto = np.cumsum(many)
+            yield values[np.repeat(begins[order] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)], upto[ends + np.arange(len(ends))]
 
     return encode
 
 
 def _cutter(path: str, window: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
-        last = end_id.to_bytes(4, "little")
+        encode = _encoder(path, end_id)
         for batch in parts(batches):
-            rows, starts, lengths, crcs, totals, pieces = [], [], [], [], [], []
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for row, ids in enumerate(encode(texts)):
-                ids += last
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    rows.append(row)
-                    starts.append(start)
-                    lengths.append(len(piece) // 4)
-                    crcs.append(zlib.crc32(piece))
-                    totals.append(total)
-                    if keep_ids:
-                        pieces.append(piece)
+            rows, starts, lengths, crcs, totals, pieces, row = [], [], [], [], [], [], 0
+            for ids, ends in encode(batch.column("text")):
+                begin = 0
+                for end in ends.tolist():
+                    for start in range(begin, end, window):
+                        piece = ids[start : min(start + window, end)]
+                        rows.append(row)
+                        starts.append(start - begin)
+                        lengths.append(len(piece))
+                        crcs.append(zlib.crc32(piece))
+                        totals.append(end - begin)
+                        if keep_ids:
+                            pieces.append(piece.tobytes())
+                    begin, row = end, row + 1
             columns = [batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * keep_ids, ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
 

@@ -14,8 +14,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.RandomState(20240607).randint(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]  # A-Z count as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     first = np.zeros(n, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
     begins = word.copy()

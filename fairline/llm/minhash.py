@@ -9,7 +9,8 @@ Only what changes a component is compared, so a bucket is never expanded into al
 1. In each bucket all classes are compared with its most popular one (the pivot), then with a second pivot among the
    classes that are still apart.
 2. What is left apart in a bucket is compared pair by pair where the sizes and the number of shingles that each text
-   shares with any other allow the similarity at all. The bounds are exact, so no link is lost.
+   shares with any other allow the similarity at all, once for all the bands that a pair has in common. The bounds are exact,
+   so no link is lost.
 
 Bands are chosen so that a pair at the similarity itself shares none with a probability of at most ``miss``.
 """
@@ -145,7 +146,7 @@ def _with_second_pivot(apart: DataFrame) -> DataFrame:
     return pairs.select(F.col("c").alias("a"), F.col("p.c").alias("b")).distinct()
 
 
-def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _possible_pairs(apart: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of different components, from buckets of more than three, whose sets can reach the similarity at all.
 
     A shingle is shared if it is in two or more of the open texts, rare if in at most RARE and common if in more. ``u``
@@ -156,7 +157,8 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Sizes p <= q reach the similarity only if 100 m >= percent (p + q - m). For the second kind that is q <= high(p) and
     p <= high(q) with high(s) = (100 + percent) common / percent - s, compared by joining on bins of sizes whose bounds are the
-    similarity apart, so that p is in the bin of q or the one below.
+    similarity apart, so that p is in the bin of q or the one below. A pair is only taken from the bucket of its first common
+    band: where that bucket isn't looked at here, the pair is in one component or the pivots have met both.
     """
     apart = apart.where("size > 3")  # in smaller buckets the pivots have met every class
     held = apart.select("c", "label").distinct().join(sets, "c")
@@ -165,7 +167,7 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     shared = stage(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     marked = stage(each.join(shared, "s"), "shared")
     counted = marked.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("u"), F.count_if(F.col("df") > RARE).alias("common"))
-    counted = stage(counted.where(f"100 * u >= {percent} * n"), "counted")
+    counted = stage(counted.where(f"100 * u >= {percent} * n").join(classes.select("c", "bands"), "c"), "counted")
 
     rare = marked.where(f"df <= {RARE}").select("s", "c", "label").join(counted, "c")
     left = rare.select("s", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("u").alias("ua"), F.col("common").alias("ca"))
@@ -178,11 +180,12 @@ def _possible_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     bin_ = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(100 / percent)))
     high = F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
     places = apart.join(counted.withColumn("high", high), "c")
-    small = places.where("high >= n").select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("high").alias("ha"), bin_(F.col("n")).alias("bin"))
+    small = places.where("high >= n").select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("p"), F.col("high").alias("ha"), F.col("bands").alias("xa"), bin_(F.col("n")).alias("bin"))
     low = F.ceil(F.col("n") * percent / 100)
     top = F.least("n", "high")
-    large = places.where(top >= low).join(small.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("high").alias("hb"), F.explode(F.sequence(bin_(low), bin_(top))).alias("bin"))
+    large = places.where(top >= low).join(small.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("q"), F.col("high").alias("hb"), F.col("bands").alias("xb"), F.explode(F.sequence(bin_(low), bin_(top))).alias("bin"))
     on = (F.col("la") != F.col("lb")) & F.expr(f"p <= q and 100 * p >= {percent} * q and q <= ha and p <= hb and (p < q or a < b)")
+    on = on & F.expr("element_at(filter(zip_with(xa, xb, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = bucket")
     return first.union(small.join(large, ["bucket", "bin"]).where(on).select("a", "b")).distinct()
 
 
@@ -212,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stage(mapped(texts, _sets(words), f"c {_CLASS}, shingles binary").dropDuplicates(["c"]), "sets")
 
     labels = places.select(F.col("c").alias("node"), F.col("c").alias("label")).limit(0)
-    for pairs_of in (_with_pivot, _with_second_pivot, lambda apart: _possible_pairs(apart, sets, percent)):
+    for pairs_of in (_with_pivot, _with_second_pivot, lambda apart: _possible_pairs(apart, classes, sets, percent)):
         apart = _apart(places, labels)
         if apart.isEmpty():
             break

@@ -131,16 +131,22 @@ def best_in_block(query: np.ndarray, square: int, near: np.ndarray, vectors: np.
     apart = np.abs(table - near).max(1)
     bound = (square + squares - apart * apart) / 2
     bound += 1 + 1e-9 * (square + squares)  # more than what the distances may be off
-    order = np.argsort(-bound, kind="stable")
+    order = np.flatnonzero(bound >= floor)
+    order = order[np.argsort(-bound[order], kind="stable")]
     best: list[tuple[int, int]] = []
     exact = query.astype(np.float64) if float(square) * float(squares.max()) < 2.0**104 else query  # sums below 2**52
-    met = 0
+    met, step = 0, _STEP
     while met < len(order) and bound[order[met]] >= floor:
-        part = order[met : met + _STEP]
+        part = order[met : met + step]
         part = part[bound[part] >= floor]
         scores = (vectors[part].astype(exact.dtype) @ exact).astype(np.int64)
         met += len(part)
-        good = scores >= floor
+        step *= 2
+        good = np.flatnonzero(scores >= floor)
+        if not len(good):
+            continue
+        if len(good) > k:  # those that can be among the best k classes; ties are kept, as the place decides them
+            good = good[scores[good] >= np.partition(scores[good], len(good) - k)[len(good) - k]]
         best = sorted([*best, *zip((-scores[good]).tolist(), part[good].tolist(), strict=True)])[:k]
         rows = 0
         for minus, place in best:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairline.operators import structural
+
 PPM = 1_000_000
 
 
@@ -64,6 +66,25 @@ def best_prices(latest: DataFrame, event: list[str], outcome: str) -> DataFrame:
     )
 
 
+def structural_prices(quotes: DataFrame, selections: DataFrame, markets: DataFrame, event_participants: DataFrame, order: list[str]) -> DataFrame:
+    """Best latest price of every structurally complete outcome over all books, by market and selection key with the line.
+
+    Outcomes are compared by what they mean, whatever ids they have: books that share ids and books that have their own give the
+    same rows. What is incomplete (no known market type, a total without a line, a side without a participant) takes no part.
+    """
+    kinds = structural.complete_markets(markets)
+    listed = selections.select(F.col("id").alias("selection_id"), "market_id", "selection_type", "participant_id", "line")
+    sides = listed.join(kinds.select(F.col("id").alias("market_id"), "event_id", F.col("line").alias("market_line")), "market_id")
+    sides = structural.complete_selections(sides, event_participants).select("selection_id", "market_id", "selection_type", "participant_id", "effective_line")
+    latest = quotes.groupBy("bookmaker_id", "selection_id").agg(F.max_by(F.struct("decimal_odds", "is_available"), F.struct(*order)).alias("q"))
+    priced = latest.select("selection_id", F.col("bookmaker_id").alias("bookmaker"), "q.*").join(sides, "selection_id")
+    keyed = priced.join(kinds.select(F.col("id").alias("market_id"), *structural.MARKET_KEY), "market_id")
+    # Of one book's own outcomes with one meaning the best counts, so a book is counted once.
+    outcome = [*structural.MARKET_KEY, "selection_type", "participant_id", "effective_line"]
+    once = keyed.groupBy(*outcome, "bookmaker").agg(F.max(F.when(F.col("is_available"), F.col("decimal_odds"))).alias("decimal_odds")).withColumn("is_available", F.lit(True))
+    return best_prices(once, outcome[:-1], outcome[-1])
+
+
 def market_margin(best: DataFrame, event: list[str], outcome: str, wanted: list[str]) -> DataFrame:
     """Sum of implied probabilities over markets that have a best price for each of the ``wanted`` two or three outcomes.
 

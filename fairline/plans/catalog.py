@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("catalog_feeds", "catalog_history", "catalog_identity", "catalog_markets", "catalog_streams", "catalog_runs")
+_MODULES = ("catalog_feeds", "catalog_history", "catalog_identity", "catalog_markets", "catalog_streams", "catalog_runs", "catalog_stored")
 
 
 def registered() -> dict:

@@ -23,13 +23,15 @@ def quote_history(
 ) -> DataFrame:
     """Stored quotes with their market and selection, bounded by any of the arguments.
 
-    A time bound also bounds the ``day`` directories, so only those are read.
+    A quote's time is its source's or else when it was seen, which is also what its ``day`` directory says: a time bound bounds
+    the directories, so only those are read.
     """
     rows = quotes
+    time = F.coalesce("source_updated_at", "observed_at")
     if start is not None:
-        rows = rows.filter(F.col("observed_at") >= start)
+        rows = rows.filter(time >= start)
     if end is not None:
-        rows = rows.filter(F.col("observed_at") < end)
+        rows = rows.filter(time < end)
     if "day" in quotes.columns:
         if start is not None:
             rows = rows.filter(F.col("day") >= F.to_date(start))
@@ -143,6 +145,14 @@ def freshness(quotes: DataFrame, book: str, time: str, now: Column) -> DataFrame
     )
 
 
+def skipped_share(runs: DataFrame) -> DataFrame:
+    """Per book over its finished runs: records received, records skipped, and their share in parts per million."""
+    done = runs.filter("status <> 'running'").groupBy("bookmaker_id").agg(
+        F.count("*").alias("n_runs"), F.sum("received_count").alias("received_count"), F.sum("rejected_count").alias("skipped_count")
+    )
+    return done.withColumn("skipped_ppm", F.expr(f"skipped_count * {PPM} div nullif(received_count, 0)"))
+
+
 def alerts(changes: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules (rule_id, kind, threshold) met by changes (kind, subject, at, amount).
 

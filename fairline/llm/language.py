@@ -22,7 +22,7 @@ from fairline.llm.words import parts
 
 DIMENSIONS = 1024
 SYMBOLS = 64  # 0 is the gap between words
-_TABLE_SIZE = 0x30000  # code points beyond it have no letters in use here; they count as their remainder
+_TABLE_SIZE = 0x110000  # every code point
 _SLICE_CHARS = 1 << 19
 STEP = 2.0**-10  # scores are counted by steps of this size to find their limits; exact in binary
 SIZE_CLASSES = 32  # texts have less than 2**31 letters
@@ -63,7 +63,7 @@ def _counted(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
         part = [t or "" for t in texts[begin:end]]
         points = np.frombuffer("\n".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         table = _symbols()
-        symbol = table[points if points.max(initial=0) < _TABLE_SIZE else points % _TABLE_SIZE]
+        symbol = table[points]
         ends = np.cumsum([len(t) + 1 for t in part])
         text = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
         keep = symbol > 0

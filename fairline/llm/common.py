@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fairline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete stages whose last reader has been written itself.
+
+    Spark deletes the shuffle files of finished jobs only once the driver's JVM has collected what refers to them, so that is asked for.
+    """
+    spark = staged[0].sparkSession
+    for df in staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # what the first collection finalises goes in the second
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def whole(df: DataFrame, name: str = "row") -> Column:

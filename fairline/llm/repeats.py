@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.bwt import repeated_starts, rolling
-from fairline.llm.common import mapped, stage
+from fairline.llm.common import mapped, release, stage
 from fairline.llm.words import U, mix, parts
 
 GRAM = 32
@@ -224,12 +224,16 @@ def cut_texts(rows: DataFrame, length: int = 200, hot_bytes: int = HOT_BYTES) ->
     # Of equal texts one is cut up, for all.
     once = long_.join(marked.join(texts, ["t1", "t2"]), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("rep")))
     once = stage(once.select("t1", "t2", "text", "runs", "copies").dropDuplicates(["t1", "t2"]), "marked")
+    release(texts, runs, shared)
     pieces = stage(mapped(once, _cut(length), "t1 long, t2 long, at long, copies long, weight long, f long, s binary, segment binary"), "segments")
     segments = stage(pieces.groupBy("f", "s").agg(F.first("segment").alias("segment"), F.sum("copies").alias("many"), F.max("weight").alias("weight")), "distinct")
+    places = stage(pieces.select("s", "t1", "t2", "at"), "places")
+    release(pieces)
     by_segment = stage(_covered_by_segment(segments, length, hot_bytes), "covered")
+    release(segments)
 
     pair = F.explode(F.expr("transform(sequence(0, size(covered) - 1, 2), i -> named_struct('a', at + covered[i], 'b', at + covered[i + 1]))"))
-    by_text = pieces.select("s", "t1", "t2", "at").join(by_segment, "s").select("t1", "t2", pair.alias("p")).groupBy("t1", "t2").agg(F.collect_set("p").alias("covered"))
+    by_text = places.join(by_segment, "s").select("t1", "t2", pair.alias("p")).groupBy("t1", "t2").agg(F.collect_set("p").alias("covered"))
     return mapped(once.select("t1", "t2", "text").join(by_text, ["t1", "t2"]), _removed(), "t1 long, t2 long, kept binary, n_removed long, n_spans long")
 
 

@@ -123,7 +123,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, doc_id: str = "d
         raise TypeError("ids are whole numbers")
     # Rows without an id would meet in one task of the join; they get keys of their own, which no label has.
     facts = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    facts = stage(facts.select("labelled", F.lit(0).alias("spread"), "good", "toxic"), "labels")
+    facts = stage(facts.where("good OR toxic").select("labelled", F.lit(0).alias("spread"), "good", "toxic"), "labels")
 
     # A pattern, as the path may be one file; only whole folders are watched otherwise.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")

@@ -89,6 +89,15 @@ def test_language_edge_cases(spark):
     assert docs.where(held_out("doc_id")).where("doc_id is null").count() == 0
 
 
+def test_every_code_point_is_a_letter_or_not(spark):
+    """Rare ideographs are letters; private-use characters, marks and emoji are none."""
+    rows = [(1, "".join(map(chr, range(0x30001, 0x3001F)))), (2, chr(0xF0061) + chr(0xF0062) + " " + chr(0x10FFFD)), (3, "\U0001F600 \U000E0061"), (4, "\u5b57\u6f22 kanji")]
+    docs = documents(spark, rows)
+    learned = learn(spark.createDataFrame([("kanji \u5b57\u6f22", "ja"), ("some plain words", "en")], "text string, lang string"))
+    by = {r["row"]["doc_id"]: r["lang_pred"] for r in identify(docs, learned).collect()}
+    assert by[1] in ("ja", "en") and by[2] == by[3] == "und" and by[4] == "ja"
+
+
 def model_counts(text):
     words = WORD.findall(text or "")
     grams = Counter(zip(words, words[1:], words[2:]))

@@ -187,6 +187,28 @@ def is_three_way(definition: Column, rotated: Column) -> Column:
     )
 
 
+def odds_problem(payloads: DataFrame, slug: str) -> Column:
+    """Why a fixture's odds would fail a batch, for ``sound_and_rejected``; null for a sound payload.
+
+    Besides the root these are an id that isn't the fixture's asked for, and, where the book lists the fixture before its start, a
+    missing suspended flag or missing odds.
+    """
+    root = F.from_json("payload", f"STRUCT<{_FIXTURE},odds:MAP<STRING,MAP<STRING,{_QUOTE}>>>")
+    asked = F.col("event_source_id") if "event_source_id" in payloads.columns else F.lit(None).cast("string")
+
+    def judged(r: Column) -> Column:
+        fixture, meta = blank_to_null(r["fixtureId"]), _book_meta(r, slug)
+        listed = _is_pregame(r) & meta.isNotNull()
+        return (
+            F.when(F.coalesce(fixture != asked, F.lit(False)), "fixture odds changed fixtureId")
+            .when(listed & meta["suspended"].isNull(), "book suspended flag is missing or has the wrong type")
+            .when(listed & r["odds"].isNull(), "odds is missing or has the wrong type")
+        )
+
+    no_object = F.col("payload").isNull() | ~F.col("payload").rlike(r"\A\s*\{")
+    return F.when(no_object, F.lit("the root is no object")).otherwise(F.get(F.transform(F.array(root), judged), F.lit(0)))
+
+
 def quotes(payloads: DataFrame, slug: str) -> DataFrame:
     """One row per usable quote of the book, with its fixture's facts and the skipped count."""
     numbered = payloads.withColumn("payload_id", F.monotonically_increasing_id()).withColumn("payload_file", payload_file(payloads))

@@ -209,3 +209,19 @@ def test_bad_payloads_are_set_aside(spark):
     assert rejected.count() == 5 and rejected.filter("problem IS NULL").count() == 0
     listed = spark.createDataFrame([("[]",), ("[{}",), ("{}",), (None,)], "payload string")
     assert payloads.sound_and_rejected(listed, payloads.list_problem())[0].count() == 1
+
+
+def test_bad_fixture_odds_are_set_aside_one_by_one(spark):
+    def landed(asked, **changes):
+        doc = {k: v for k, v in {**FIXTURE, "odds": {"keyed": ODDS}, **changes}.items() if v is not None}
+        return json.dumps(doc), asked
+
+    fixture = FIXTURE["fixtureId"]
+    flagless = {"keyed": {k: v for k, v in FIXTURE["bookmakers"]["keyed"].items() if k != "suspended"}}
+    rows = [landed(fixture), landed("other"), landed(fixture, bookmakers=flagless), landed(fixture, odds=None), ("[1]", fixture), (None, fixture)]
+    asked = spark.createDataFrame(rows, "payload string, event_source_id string")
+    sound, rejected = payloads.sound_and_rejected(asked, keyed_feed.odds_problem(asked, "keyed"))
+    assert {r.problem.split(" is ")[0] for r in rejected.collect()} == {"fixture odds changed fixtureId", "book suspended flag", "odds", "the root"}
+    assert rejected.count() == 5
+    alone = keyed_feed.quotes(spark.createDataFrame(rows[:1], asked.schema), "keyed").count()
+    assert keyed_feed.quotes(sound, "keyed").count() == alone > 0

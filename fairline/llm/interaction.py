@@ -23,6 +23,7 @@ from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,7 +33,7 @@ from fairline.session import shared_folder
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-BATCHES = 4  # micro-batches, about; the files are dealt over them
+BATCHES = 2  # micro-batches, about; the files are dealt over them
 TEXTS = 4096  # texts in a bucket of state, about
 _WORD_BREAK = r"[\x20\x09-\x0D]+"
 _WHAT = ["part", "mask", "good", "toxic"]
@@ -65,19 +66,29 @@ def smallest_ids(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _combined(buckets: int):
     """Rows of each Arrow batch: those with the smallest ids of their texts, and changes to the counters (without a key)."""
+    fields = ["key", "id", *_WHAT, "n"]
+
+    def summed(rows: pa.Table, by: list[str]) -> pa.Table:
+        return rows.group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"]) if rows.num_rows else rows.select([*by, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pandas()
-            if not len(rows):
+            rows = pa.Table.from_arrays(batch.columns, names=batch.schema.names)  # fields may be null from here on
+            if not rows.num_rows:
                 continue
-            named = rows[rows["id"].notna()].astype({"id": "int64"})
-            counted = _added(pd.concat([named.assign(mask=named["mask"] | COPY), rows[rows["id"].isna()]]))
-            least = smallest_ids(named) if len(named) else named
-            out = pd.concat([least, counted.assign(key=b"", id=0)])
+            named = pc.is_valid(rows["id"])
+            mask = pc.if_else(named, pc.bit_wise_or(rows["mask"], pa.scalar(COPY, pa.int32())), rows["mask"])
+            counted = summed(rows.set_column(rows.schema.get_field_index("mask"), "mask", mask), _WHAT)
+            held = rows.filter(named)
+            first = held.group_by("key").aggregate([("id", "min")])
+            least = held.join(first, "key") if held.num_rows else held.append_column("id_min", held["id"])
+            least = summed(least.filter(pc.equal(least["id"], least["id_min"])), fields[:-1])
             # Changes go to any bucket; the first text's keeps a task that is run again alike, and spreads them.
-            places = [int.from_bytes(k[:8], "little") % buckets for k in [*least["key"], *[rows["key"].iloc[0]] * len(counted)]]
-            yield pa.RecordBatch.from_pandas(out.assign(bucket=places)[["bucket", "key", "id", *_WHAT, "n"]].astype({"bucket": "int64", "id": "int64", "mask": "int32", "n": "int64"}), preserve_index=False)
+            place = lambda key: int.from_bytes(key[:8], "little") % buckets
+            places = [*map(place, least["key"].to_pylist()), *[place(rows["key"][0].as_py())] * counted.num_rows]
+            plain = counted.append_column("key", pa.array([b""] * counted.num_rows, pa.binary())).append_column("id", pa.array([0] * counted.num_rows, pa.int64()))
+            out = pa.concat_tables([least.select(fields), plain.select(fields)]).append_column("bucket", pa.array(places, pa.int64()))
+            yield from out.select(["bucket", *fields]).combine_chunks().to_batches()
 
     return run
 

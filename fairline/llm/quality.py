@@ -1,11 +1,12 @@
 """Quality rules by distribution divergence.
 
 Two histograms of a document are compared with those of each language: character classes, and the language's common
-words (short words that make up at least one in COMMON_SHARE of its words, and all others together). The distance to a
+words (those that make up at least one in COMMON_SHARE of its words, whatever their length, and all others together). The distance to a
 language is the mean of both Jensen-Shannon distances (base 2, so 0 to 1). A document far from all languages is dropped;
 one with fewer than ``min_words`` words is too short for histograms and is left to the plain rules.
 
-Language histograms are counted over all labelled documents.
+Language histograms are counted over all labelled documents: words by hash within tasks, which send their counts on whenever they
+hold HELD_WORDS distinct words, so neither memory nor shuffle depends on a bound on words.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.common import mapped
-from fairline.llm.words import U, mix, parts, slices, word_bounds, word_hashes
+from fairline.llm.words import U, mix, parts, slices, word_hashes
 
 COMMON_SHARE = 500
-COMMON_BYTES = 6  # longer words are no candidates for common words
+HELD_WORDS = 1 << 20  # distinct words of a language that a task counts before it sends them on
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MAX_DISTANCE = 0.31
@@ -67,26 +68,29 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
         return [(keys, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64))]
 
+    def counted(lang: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(["word"] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "kind", "key", "n"])
+
     for batch in parts(batches):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for first, data, offsets in slices(batch.column("text")):
             own = langs[first : first + len(offsets) - 1]
             hashes, at = word_hashes(data, offsets, fold=False)
-            starts, ends = word_bounds(data, offsets)
             counts = _class_counts(data, offsets)
             text = np.repeat(np.arange(len(own)), np.diff(at))
-            short = ends - starts <= COMMON_BYTES
             for lang in set(own):
                 mine = own == lang
                 classes[lang] = classes.get(lang, 0) + counts[mine].sum(0)
                 totals[lang] = totals.get(lang, 0) + int(np.diff(at)[mine].sum())
                 held = words.setdefault(lang, [])
-                held.append(np.unique(hashes[mine[text] & short], return_counts=True))
+                held.append(np.unique(hashes[mine[text]], return_counts=True))
                 if len(held) > 40:
                     words[lang] = merged(held)
+                    if len(words[lang][0][0]) >= HELD_WORDS:
+                        yield counted(lang, *words.pop(lang)[0])
     for lang in sorted(classes):
-        keys, counts = merged(words[lang])[0]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(["word"] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "kind", "key", "n"])
+        if lang in words:
+            yield counted(lang, *merged(words[lang])[0])
         rest = [*classes[lang].tolist(), totals[lang]]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rest), pa.string()), pa.array(["class"] * _CLASSES + ["total"]), pa.array([*range(_CLASSES), 0], pa.int64()), pa.array(rest, pa.int64())], ["lang", "kind", "key", "n"])
 

@@ -10,6 +10,8 @@ from fairline.llm.line_dedup import remove_repeated_runs
 from fairline.llm.minhash import near_duplicates
 from fairline.llm.repeats import remove_repeats
 
+LONG_LINE = 50  # words; a line of so many is a run by itself
+
 
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Component and verdict of every document: 3-word shingles, similarity 0.85."""
@@ -19,13 +21,13 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """What is left of every document when later runs of at least two repeated lines are deleted."""
+    """What is left of every document when later runs of at least two repeated lines, and later single lines of LONG_LINE words, are deleted."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = remove_repeated_runs(docs, window=2)
+    out = remove_repeated_runs(docs, window=2, long_words=LONG_LINE)
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-_OP2_SQL = r"""
+_OP2_SQL = rf"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM docs
@@ -41,7 +43,13 @@ runs AS (
 later AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, r) AS nth FROM runs) WHERE nth > 1
 ),
-gone AS (SELECT doc_id, i1 AS i FROM later UNION SELECT doc_id, i2 FROM later),
+long_later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, r) AS nth FROM full_lines
+    WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG_LINE}
+  ) WHERE nth > 1
+),
+gone AS (SELECT doc_id, i1 AS i FROM later UNION SELECT doc_id, i2 FROM later UNION SELECT doc_id, i FROM long_later),
 kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept_text
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i WHERE g.i IS NULL GROUP BY l.doc_id

@@ -27,6 +27,7 @@ from fairline.session import shared_folder
 
 ARCHIVE_BYTES = 32 << 20
 _CHUNK = 1 << 16
+_HELD_BYTES = 8 << 20  # payload that the reader holds before it hands it on
 _LEVEL = 4
 _DATE = "2024-01-01T00:00:00Z"  # capture time; the pages carry none
 
@@ -144,8 +145,14 @@ def _normaliser(folder: str):
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
+        names = ["id", "url", "refers_to", "record_type", "payload_digest", "payload_bytes", "payload"]
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             opened, source = None, None
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                 if file != opened:
@@ -162,9 +169,11 @@ def _reader(folder: str):
                     raise ValueError(f"record at {offset} of {file} doesn't hold its payload")
                 known = [None if (v := fields.get(k)) is None else unquote(v) for k in ("X-Page-ID", "WARC-Target-URI", "X-Refers-To-Page-ID")]
                 rows.append((*known, kind, digest, size, payload if kind == "response" else None))
-            names = ["id", "url", "refers_to", "record_type", "payload_digest", "payload_bytes", "payload"]
-            kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                held += len(payload)
+                if held >= _HELD_BYTES:
+                    yield table(rows)
+                    rows, held = [], 0
+            yield table(rows)
 
     return run
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fairline.functions import keys, text
 from fairline.functions.scalars import sport_code
 from fairline.operators import event_matching, merge
-from fairline.operators.matching import match_names
+from fairline.operators.matching import candidate_profiles, eligibility_counts, match_names, source_classes
 from fairline.operators.remediate import remap
 from fairline.operators.name_join import distinct_names, similar_names
 from fairline.operators.resolve import resolve_names
-from fairline.operators.rules import COMPETITION, PARTICIPANT, prepared_sources
+from fairline.operators.rules import COMPETITION, PARTICIPANT, prepared_candidates, prepared_sources
 from fairline.plans import readmodels, views
 from fairline.plans.views import PARTICIPANT_ENTITIES_SQL, PARTICIPANT_SOURCES_SQL
 from fairline.schemas import TABLES
@@ -256,6 +256,41 @@ _COMPETITION_SQL = _ladder_sql(
     ("920000000000000000", "90/100", "80000000000000000", "750000000000000000"),
 )
 
+
+_SEASON = "CASE p_size % 4 WHEN 0 THEN '2025-2026' WHEN 1 THEN '2026-2027' WHEN 2 THEN '2026/27' END"
+_GENDER = "CASE p_size % 5 WHEN 0 THEN 'Women' WHEN 1 THEN 'men' WHEN 2 THEN ' MEN ' END"
+
+
+def rejection_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why candidates can't be the competition that a source lists: counts of the first clash in country, season, gender."""
+    sources, _ = _competitions(spark, folder)
+    part = views.table(spark, folder, "part")
+    entities = part.select(
+        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_type").alias("sport_id"), F.col("p_name").alias("name"),
+        F.expr(_COUNTRY).alias("country_code"), F.expr(_SEASON).alias("season"), F.expr(_GENDER).alias("gender"),
+    )
+    classes = cut_lineage(prepared_sources(sources, COMPETITION))
+    profiles = candidate_profiles(prepared_candidates(entities, None, COMPETITION), COMPETITION)
+    counts = eligibility_counts(source_classes(classes, COMPETITION), profiles, COMPETITION)
+    reason = lambda name: F.coalesce(F.element_at("hard_rejection_reasons", F.lit(name)), F.lit(0)).cast("bigint").alias(name)
+    return classes.join(counts, classes["source_fingerprint"] == counts["class_id"]).select(
+        "source_id", "candidate_count", "hard_rejection_count", *[reason(name) for _, name in COMPETITION.conflicts]
+    )
+
+
+_REJECTION_SQL = f"""
+  WITH parts AS (SELECT *, CAST(p_partkey AS VARCHAR) AS source_id, {_COUNTRY} AS country,
+    CASE WHEN p_partkey % 2 = 0 THEN '2026-2027' END AS season, CASE WHEN p_partkey % 5 = 0 THEN 'women' WHEN p_partkey % 5 < 3 THEN 'men' END AS gender,
+    CASE p_size % 4 WHEN 0 THEN '2025-2026' WHEN 3 THEN NULL ELSE '2026-2027' END AS their_season,
+    CASE p_size % 5 WHEN 0 THEN 'women' WHEN 1 THEN 'men' WHEN 2 THEN 'men' END AS their_gender FROM part),
+  judged AS (SELECT s.source_id, CASE WHEN s.country <> c.country THEN 'country' WHEN s.season <> c.their_season THEN 'season'
+      WHEN s.gender <> c.their_gender THEN 'gender' END AS clash FROM parts s JOIN parts c ON s.p_type = c.p_type)
+  SELECT source_id, count(*) FILTER (clash IS NULL) AS candidate_count, count(clash) AS hard_rejection_count,
+    count(*) FILTER (clash = 'country') AS country_conflict, count(*) FILTER (clash = 'season') AS season_conflict,
+    count(*) FILTER (clash = 'gender') AS gender_conflict FROM judged GROUP BY 1
+"""
+
+
 def _event_columns(k: str, start: str) -> str:
     """events as scheduled events; ``k`` varies competition, name, roles and positions."""
     return f"""
@@ -537,6 +572,7 @@ QUERIES = {
     "name_similarity_topk": (name_similarity_topk, _TOPK_SQL),
     "participant_match": (participant_match, _PARTICIPANT_SQL),
     "competition_match": (competition_match, _COMPETITION_SQL),
+    "rejection_reasons": (rejection_reasons, _REJECTION_SQL),
     "event_match": (event_match, _EVENT_SQL),
     "event_duplicate_risk": (event_duplicate_risk, _RISK_SQL),
     "mapping_lookup": (

@@ -257,7 +257,7 @@ _COMPETITION_SQL = _ladder_sql(
 )
 
 
-_SEASON = "CASE p_size % 4 WHEN 0 THEN '2025-2026' WHEN 1 THEN '2026-2027' WHEN 2 THEN '2026/27' END"
+_THEIR_SEASON = "CASE p_size % 4 WHEN 0 THEN '2025-2026' WHEN 1 THEN '2026-2027' WHEN 2 THEN '2026/27' END"
 _GENDER = "CASE p_size % 5 WHEN 0 THEN 'Women' WHEN 1 THEN 'men' WHEN 2 THEN ' MEN ' END"
 
 
@@ -267,7 +267,7 @@ def rejection_reasons(spark: SparkSession, folder: str) -> DataFrame:
     part = views.table(spark, folder, "part")
     entities = part.select(
         F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_type").alias("sport_id"), F.col("p_name").alias("name"),
-        F.expr(_COUNTRY).alias("country_code"), F.expr(_SEASON).alias("season"), F.expr(_GENDER).alias("gender"),
+        F.expr(_COUNTRY).alias("country_code"), F.expr(_THEIR_SEASON).alias("season"), F.expr(_GENDER).alias("gender"),
     )
     classes = cut_lineage(prepared_sources(sources, COMPETITION))
     profiles = candidate_profiles(prepared_candidates(entities, None, COMPETITION), COMPETITION)

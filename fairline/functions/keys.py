@@ -17,16 +17,16 @@ SNAPSHOT_NAMESPACE = "59cd1555-c07c-472d-9429-0f82773ad88d"
 def uuid5(namespace: str, name: Column) -> Column:
     """RFC 4122 version 5 UUID of ``name`` as lower-case text."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    text = F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    )
-    return F.when(name.isNotNull(), text)
+
+    def text(d: Column) -> Column:
+        variant = F.translate(F.substring(d, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(
+            F.substring(d, 1, 8), F.lit("-"), F.substring(d, 9, 4), F.lit("-5"), F.substring(d, 14, 3), F.lit("-"), variant,
+            F.substring(d, 18, 3), F.lit("-"), F.substring(d, 21, 12),
+        )
+
+    # One-element transform: the digest is computed once, not for each of its parts; a null name gives null.
+    return F.get(F.transform(F.array(digest), text), F.lit(0))
 
 
 def canonical_id(bookmaker_id: Column, entity_type: Column | str, source_id: Column) -> Column:

@@ -164,7 +164,7 @@ def definition_payloads(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("Full-Time").alias("period"), (F.col("p_brand") == "Brand#1").alias("playerProp"),
         F.when(F.col("p_size") < 20, 0).alias("handicap"), F.col("p_name").alias("marketName"), named.alias("outcomes"),
     )
-    return views.table(spark, folder, "part").select(F.to_json(F.array(definition)).alias("payload"))
+    return views.spread(views.table(spark, folder, "part")).select(F.to_json(F.array(definition)).alias("payload"))
 
 
 def feed_keyed_markets(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,13 +84,19 @@ def is_ascii(col: Column) -> Column:
     return col.rlike(_ASCII_ONLY)
 
 
+def _plain_ends(col: Column) -> Column:
+    """Whether the text starts and ends with a visible ASCII character, so that there is nothing to trim; null for null."""
+    last = F.substring(col, -1, 1)
+    return (col >= "!") & (col < "\x7f") & (last >= "!") & (last < "\x7f")
+
+
 def strip(col: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.btrim(col, F.lit(_SPACES))
+    """Trim every kind of white space, not only blanks; ends are looked up in the list of spaces only where they may be one."""
+    return F.when(_plain_ends(col), col).otherwise(F.btrim(col, F.lit(_SPACES)))
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(strip(col), F.lit(""))
+    return F.when(_plain_ends(col), col).otherwise(F.nullif(F.btrim(col, F.lit(_SPACES)), F.lit("")))
 
 
 def with_normalized_name(df: DataFrame, column: str, strict: str = "norm_name", folded: str | None = None) -> DataFrame:

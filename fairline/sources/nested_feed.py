@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -213,14 +214,25 @@ def _selection(outcome: Column, removed: Column, generated_at: Column) -> Column
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, by a one-element transform."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def market_meaning(name: Column, market_id: Column) -> Column:
     """``type/period`` from the provider's name and id; null when unsupported or contradictory."""
     by_name = lookup({k: "/".join(v) for k, v in _NAME_MEANING.items()}, provider_token(name))
     number = numeric_id_suffix(market_id)
-    by_id = lookup({k: "/".join(v) for k, v in _ID_MEANING.items()}, number)
-    clash = by_name.isNotNull() & by_id.isNotNull() & (by_name != by_id)
-    unsupported = F.coalesce(number.isin(_UNSUPPORTED_IDS), F.lit(False))
-    return F.when(~(unsupported | F.coalesce(clash, F.lit(False))), F.coalesce(by_id, by_name))
+
+    def looked_up(n: Column) -> Column:
+        by_id = lookup({k: "/".join(v) for k, v in _ID_MEANING.items()}, n["number"])
+        return F.struct(n["by_name"].alias("by_name"), by_id.alias("by_id"), n["number"].isin(_UNSUPPORTED_IDS).alias("unsupported"))
+
+    def meant(m: Column) -> Column:
+        clash = m["by_name"] != m["by_id"]
+        return F.when(~(F.coalesce(m["unsupported"], F.lit(False)) | F.coalesce(clash, F.lit(False))), F.coalesce(m["by_id"], m["by_name"]))
+
+    return _bound(F.struct(by_name.alias("by_name"), number.alias("number")), lambda n: _bound(looked_up(n), meant))
 
 
 def _lines(outcomes: Column, types: list[str], field: str) -> Column:
@@ -230,14 +242,16 @@ def _lines(outcomes: Column, types: list[str], field: str) -> Column:
 
 
 def total_line(outcomes: Column) -> Column:
-    values = _lines(outcomes, ["over", "under"], "total")
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    return _bound(_lines(outcomes, ["over", "under"], "total"), lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def spread_line(outcomes: Column) -> Column:
-    home, away = _lines(outcomes, ["home"], "spread"), _lines(outcomes, ["away"], "spread")
-    h, a = F.get(home, F.lit(0)), F.get(away, F.lit(0))
-    return F.when((F.size(home) == 1) & (F.size(away) == 1) & (h == -a), h)
+    def agreed(v: Column) -> Column:
+        h, a = F.get(v["home"], F.lit(0)), F.get(v["away"], F.lit(0))
+        return F.when((F.size(v["home"]) == 1) & (F.size(v["away"]) == 1) & (h == -a), h)
+
+    sides = F.struct(_lines(outcomes, ["home"], "spread").alias("home"), _lines(outcomes, ["away"], "spread").alias("away"))
+    return _bound(sides, agreed)
 
 
 def _carries_line(outcomes: Column) -> Column:
@@ -251,10 +265,8 @@ def _meant_selection(selection: Column, outcomes: Column, market_type: Column) -
     """
     same_id = F.filter(outcomes, lambda o: o["source_id"] == selection["source_id"])
     same_type = F.filter(outcomes, lambda o: o["token"] == selection["token"])
-    raw = F.coalesce(F.get(same_id, F.lit(0)), F.when(F.size(same_type) == 1, F.get(same_type, F.lit(0))))
-    found = F.struct(raw.isNotNull().alias("known"), raw["token"].alias("token"), raw["total"].alias("total"), raw["spread"].alias("spread"))
-    # One-element transform: the look-up is evaluated once and read by name below.
-    return F.get(F.transform(F.array(found), lambda r: _from_outcome(selection, r, market_type)), F.lit(0))
+    only = _bound(same_type, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return _bound(F.coalesce(F.get(same_id, F.lit(0)), only), lambda raw: _from_outcome(selection, raw, market_type))
 
 
 def _from_outcome(selection: Column, raw: Column, market_type: Column) -> Column:
@@ -264,7 +276,7 @@ def _from_outcome(selection: Column, raw: Column, market_type: Column) -> Column
         allowed = allowed | ((market_type == name) & F.coalesce(kind.isin(kinds), F.lit(False)))
     line = (
         F.when(market_type == "moneyline", F.lit(None).cast(PRICE))
-        .when(~raw["known"], selection["line"])
+        .when(raw.isNull(), selection["line"])
         .when(market_type == "total", raw["total"])
         .otherwise(raw["spread"])
     )

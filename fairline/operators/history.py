@@ -33,6 +33,11 @@ def _with_slice(df: DataFrame, time: str, unit: str) -> DataFrame:
     return df.withColumn("__slice", F.date_trunc(unit, F.col(time)))
 
 
+def _dealt(df: DataFrame, tasks: int | None, *key: str) -> DataFrame:
+    """Rows dealt out by key over so many tasks; without a number Spark's own shuffles decide."""
+    return df if tasks is None else df.repartition(tasks, *key)
+
+
 def _carried(df: DataFrame, series: list[str], summary: dict[str, tuple[Column, str]]) -> DataFrame:
     """Join to each row what earlier slices of its series hold: name -> (aggregate, last|first|max|min)."""
     slices = df.groupBy(*series, "__slice").agg(*(agg.alias(name) for name, (agg, _) in summary.items()))
@@ -65,13 +70,16 @@ def change_only(
 
 
 def line_movement(
-    quotes: DataFrame, series: list[str], time: str, order: list[str], unit: str = SLICE
+    quotes: DataFrame, series: list[str], time: str, order: list[str], unit: str = SLICE, tasks: int | None = None
 ) -> DataFrame:
-    """Step, move since opening, running high and low of each priced quote within its series."""
+    """Step, move since opening, running high and low of each priced quote within its series.
+
+    ``tasks`` deals the slices out, so that neither their summaries nor their windows sort more than their share in one task.
+    """
     price = F.col("decimal_odds")
     rank = F.struct(*order)
     rows = _carried(
-        _with_slice(quotes.filter(price.isNotNull()), time, unit),
+        _dealt(_with_slice(quotes.filter(price.isNotNull()), time, unit), tasks, *series, "__slice"),
         series,
         {
             "__last": (F.max_by("decimal_odds", rank), "last"),
@@ -95,13 +103,24 @@ def line_movement(
     )
 
 
-def latest(quotes: DataFrame, series: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Latest row per series. ``max_by`` aggregates map-side, so a hot series is never sorted."""
-    return (
-        quotes.groupBy(*series)
-        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"))
-        .select(*series, "__last.*")
-    )
+def latest(
+    quotes: DataFrame, series: list[str], order: list[str], values: list[str], tasks: int | None = None, unit: str = SLICE
+) -> DataFrame:
+    """Latest row per series. ``max_by`` aggregates map-side, so a hot series is never sorted.
+
+    Spark sorts for it, on both sides of a shuffle into a fixed number of partitions. With ``tasks`` the rows are dealt out over so
+    many instead: by the first column of the series and time slice, so that a hot one is spread, and what is newest in its slice
+    by that column alone. The result keeps that layout: aggregations by this column need no further shuffle.
+    """
+
+    def newest(df: DataFrame, key: list[str], kept: list[str]) -> DataFrame:
+        return df.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("__last")).select(*key, "__last.*")
+
+    if tasks is None:
+        return newest(quotes, series, values)
+    sliced = _dealt(_with_slice(quotes, order[0], unit), tasks, series[0], "__slice")
+    found = newest(sliced, [*series, "__slice"], list(dict.fromkeys([*order, *values])))
+    return newest(_dealt(found, tasks, series[0]), series, values)
 
 
 def sessions(rows: DataFrame, series: list[str], time: str, gap_seconds: int, unit: str = SLICE) -> DataFrame:

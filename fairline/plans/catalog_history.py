@@ -27,7 +27,8 @@ _MOMENT = "1998-06-30 00:00:00"
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    return history.latest(views.quotes(spark, folder), QUOTE_SERIES, QUOTE_ORDER, _VALUES)
+    tasks = views.tasks(spark, folder, "lineitem")
+    return history.latest(views.quotes(spark, folder), QUOTE_SERIES, QUOTE_ORDER, _VALUES, tasks)
 
 
 def latest_odds(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +109,8 @@ _MARGIN_SQL = f"""
 
 
 def line_movement(spark: SparkSession, folder: str) -> DataFrame:
-    return history.line_movement(views.ticks(spark, folder), TICK_SERIES, "ts", TICK_ORDER)
+    tasks = views.tasks(spark, folder, "events")
+    return history.line_movement(views.ticks(spark, folder), TICK_SERIES, "ts", TICK_ORDER, tasks=tasks)
 
 
 def price_ranges(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,9 +214,9 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("arbitrage").alias("kind"), F.col("event_id").alias("subject"), F.lit("latest").alias("at"),
         (1_000_000 - F.col("implied_ppm")).alias("amount"),
     )
-    closed = views.quotes(spark, folder).filter(~F.col("is_available")).groupBy("event_id", "observed_at").agg(
-        F.count("*").alias("amount")
-    ).select(
+    unavailable = views.quotes(spark, folder).filter(~F.col("is_available"))
+    dealt = unavailable.repartition(views.tasks(spark, folder, "lineitem"), "event_id", "observed_at")
+    closed = dealt.groupBy("event_id", "observed_at").agg(F.count("*").alias("amount")).select(
         F.lit("unavailable").alias("kind"), F.col("event_id").alias("subject"),
         F.date_format("observed_at", "yyyy-MM-dd").alias("at"), "amount",
     )

@@ -15,6 +15,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+ROWS_PER_TASK = 1 << 20
+
+
+def tasks(spark: SparkSession, folder: str, name: str, rows: int = ROWS_PER_TASK) -> int:
+    """Tasks to deal a table's rows out over: a million rows each at most, but no fewer than any shuffle has. Counts from file footers."""
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(fewest, -(-table(spark, folder, name).count() // rows))
+
+
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as quotes: order = event, part = outcome, supplier = book."""
     return table(spark, folder, "lineitem").select(

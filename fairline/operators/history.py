@@ -146,10 +146,10 @@ def sessions(rows: DataFrame, series: list[str], time: str, gap_seconds: int, un
 
 
 def as_of(
-    quotes: DataFrame, moment: Column, time: str, series: list[str], order: list[str], values: list[str]
+    quotes: DataFrame, moment: Column, time: str, series: list[str], order: list[str], values: list[str], tasks: int | None = None
 ) -> DataFrame:
     """Latest row per series not after one moment; the bound reaches the scan."""
-    return latest(quotes.filter(F.col(time) <= moment), series, order, values)
+    return latest(quotes.filter(F.col(time) <= moment), series, order, values, tasks)
 
 
 def as_of_join(

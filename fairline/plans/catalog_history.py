@@ -38,7 +38,7 @@ def latest_odds(spark: SparkSession, folder: str) -> DataFrame:
 def odds_as_of(spark: SparkSession, folder: str) -> DataFrame:
     moment = F.lit(_MOMENT).cast("timestamp_ntz")
     return history.as_of(
-        views.quotes(spark, folder), moment, "observed_at", QUOTE_SERIES, QUOTE_ORDER, _VALUES
+        views.quotes(spark, folder), moment, "observed_at", QUOTE_SERIES, QUOTE_ORDER, _VALUES, views.tasks(spark, folder, "lineitem")
     )
 
 

@@ -10,8 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SPLITS_A_CORE = 2
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan evenly, before work that is heavy per row and so needs more tasks than the scan has splits."""
+    """Deal out the rows of a scan evenly, before work that is heavy per row and so needs more tasks than the scan has splits.
+
+    A scan with splits enough for all cores is left as it is: dealing it out would only write it to disk once more.
+    """
+    if scan.rdd.getNumPartitions() >= SPLITS_A_CORE * scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
     return scan.repartition(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 

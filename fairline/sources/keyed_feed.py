@@ -209,8 +209,8 @@ def odds_problem(payloads: DataFrame, slug: str) -> Column:
     return F.when(no_object, F.lit("the root is no object")).otherwise(F.get(F.transform(F.array(root), judged), F.lit(0)))
 
 
-def quotes(payloads: DataFrame, slug: str) -> DataFrame:
-    """One row per usable quote of the book, with its fixture's facts and the skipped count."""
+def _fixtures(payloads: DataFrame, slug: str) -> DataFrame:
+    """One row per pregame fixture of the book with its facts, the usable quotes ``kept`` and the skipped count."""
     numbered = payloads.withColumn("payload_id", F.monotonically_increasing_id()).withColumn("payload_file", payload_file(payloads))
     rows = parsed_object(numbered, f"{_FIXTURE},odds:MAP<STRING,MAP<STRING,{_QUOTE}>>", "fixture odds")
     fixture = blank_to_null(F.col("root.fixtureId"))
@@ -227,7 +227,6 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
         .withColumn("book_odds", once(F.try_element_at(required(F.col("root.odds"), "odds"), F.lit(slug))))
         .filter("book_odds IS NOT NULL")
     )
-    entries = F.map_entries("book_odds")
 
     def usable(entry: Column) -> Column:
         quote = entry["value"]
@@ -238,7 +237,7 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
             F.lit(False),
         )
 
-    kept = fixtures.withColumn("kept", once(F.filter(entries, usable))).withColumn(
+    kept = fixtures.withColumn("kept", once(F.filter(F.map_entries("book_odds"), usable))).withColumn(
         "skipped", F.size("book_odds") - F.size("kept")
     )
     root = F.col("root")
@@ -251,59 +250,79 @@ def quotes(payloads: DataFrame, slug: str) -> DataFrame:
         "skipped",
         _participant_id(root, 1).alias("home_id"),
         _participant_id(root, 2).alias("away_id"),
-        F.posexplode("kept").alias("position", "entry"),
-    ).select(
-        "payload_id", "payload_file", "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id", "position",
+        "kept",
+    )
+
+
+def _source_market_id(quote: Column) -> Column:
+    return F.coalesce(blank_to_null(quote["bookmakerMarketId"]), lenient_integer(quote["marketId"]).cast("string"))
+
+
+def quotes(payloads: DataFrame, slug: str) -> DataFrame:
+    """One row per usable quote of the book, with its fixture's facts and the skipped count."""
+    facts = ["payload_id", "payload_file", "event_source_id", "meta", "suspended", "skipped", "home_id", "away_id"]
+    return _fixtures(payloads, slug).select(*facts, F.posexplode("kept").alias("position", "entry")).select(
+        *facts, "position",
         lenient_integer(F.col("entry.value.marketId")).alias("market_id"),
-        F.coalesce(
-            blank_to_null(F.col("entry.value.bookmakerMarketId")),
-            lenient_integer(F.col("entry.value.marketId")).cast("string"),
-        ).alias("source_market_id"),
+        _source_market_id(F.col("entry.value")).alias("source_market_id"),
         F.col("entry.key").alias("odds_id"),
         F.col("entry.value").alias("quote"),
     )
 
 
-def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str) -> DataFrame:
-    """SourceMarket rows: quotes grouped by market, joined to the definitions; stale feeds overlaid."""
-    facts = ["payload_id", "event_source_id", "market_id", "source_market_id"]
-    grouped = quotes(odds_payloads, slug).groupBy(*facts).agg(
-        F.first("payload_file").alias("payload_file"),
-        F.min("position").alias("position"),
-        F.first("meta").alias("meta"),
-        F.first("suspended").alias("suspended"),
-        F.first("skipped").alias("skipped"),
-        F.first("home_id").alias("home_id"),
-        F.first("away_id").alias("away_id"),
-        F.sort_array(F.collect_list(F.struct("position", "odds_id", "quote"))).alias("quotes"),
+def _by_market(kept: Column) -> Column:
+    """A fixture's quotes cut into its markets: they are sorted by market, then position, and cut where the market changes."""
+    listed = F.transform(
+        kept,
+        lambda e, i: F.struct(
+            lenient_integer(e["value"]["marketId"]).alias("market_id"), _source_market_id(e["value"]).alias("source_market_id"),
+            i.alias("position"), e["key"].alias("odds_id"), e["value"].alias("quote"),
+        ),
     )
-    # A group is one market of one fixture payload, so its list is as small as the payload's own.
-    joined = (
-        grouped.join(definitions(definition_payloads), "market_id", "left")
-        .withColumn("three_way", is_three_way(F.col("definition"), F.col("meta.participantsRotated")))
+
+    def cut(entries: Column) -> Column:
+        def begins(i: Column) -> Column:
+            own, last = F.get(entries, i), F.get(entries, i - 1)
+            return (i == 0) | (own["market_id"] != last["market_id"]) | (own["source_market_id"] != last["source_market_id"])
+
+        places = F.sequence(F.lit(0), F.size(entries) - 1)
+        starts = F.when(F.size(entries) > 0, F.filter(places, begins)).otherwise(F.array().cast("array<int>"))
+
+        def markets(first: Column) -> Column:
+            return F.transform(first, lambda at, k: F.slice(entries, at + 1, F.coalesce(F.get(first, k + 1), F.size(entries)) - at))
+
+        # Lambda variables hold a value that several places need.
+        return F.get(F.transform(F.array(starts), markets), F.lit(0))
+
+    return F.get(F.transform(F.array(F.array_sort(listed)), cut), F.lit(0))
+
+
+def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str) -> DataFrame:
+    """SourceMarket rows: quotes grouped by market, joined to the definitions; stale feeds overlaid.
+
+    A market is in one payload, so its quotes are brought together inside the payload's row, and what meets the definitions holds
+    only what the result needs.
+    """
+    facts = ["payload_file", "event_source_id", "skipped", "home_id", "away_id"]
+    grouped = (
+        _fixtures(odds_payloads, slug)
+        .select(*facts, "meta", "suspended", F.explode(once(_by_market(F.col("kept")))).alias("quotes"))
         .withColumn(
             "closed",
-            F.col("suspended") | F.exists("quotes", lambda q: F.coalesce(~q["quote"]["marketActive"], F.lit(False))),
+            once(F.col("suspended") | F.exists("quotes", lambda q: F.coalesce(~q["quote"]["marketActive"], F.lit(False)))),
         )
         .withColumn("stale", F.coalesce(F.col("meta.staleOdds"), F.lit(False)))
     )
 
-    def selection(entry: Column) -> Column:
+    def offer(entry: Column) -> Column:
         quote = entry["quote"]
-        outcome = lenient_integer(quote["outcomeId"])
-        named = F.filter(F.col("definition.outcome_names"), lambda o: o["outcome_id"] == outcome)
-        label = F.coalesce(F.try_element_at(named, F.lit(-1))["name"], outcome.cast("string"))
-        kind = F.when(F.col("three_way"), lookup(_OUTCOME_TYPES, F.lower(F.trim(label))))
         price = lenient_decimal(quote["price"])
         available = (
             ~F.col("closed") & ~F.col("stale") & F.coalesce(quote["active"], F.lit(False)) & F.coalesce(price > 1, F.lit(False))
         )
         return F.struct(
             F.coalesce(blank_to_null(quote["bookmakerOutcomeId"]), entry["odds_id"]).alias("source_id"),
-            label.alias("label"),
-            kind.alias("selection_type"),
-            F.when(kind == "home", F.col("home_id")).when(kind == "away", F.col("away_id")).alias("participant_source_id"),
-            F.lit(None).cast(PRICE).alias("line"),
+            lenient_integer(quote["outcomeId"]).alias("outcome"),
             F.struct(
                 F.when(available, price).alias("decimal_odds"),
                 available.alias("is_available"),
@@ -313,7 +332,32 @@ def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str)
             ).alias("price"),
         )
 
-    built = joined.withColumn("selections", once(F.transform("quotes", selection)))
+    first = F.get("quotes", F.lit(0))
+    offered = grouped.select(
+        *facts,
+        first["market_id"].alias("market_id"), first["source_market_id"].alias("source_market_id"), first["position"].alias("position"),
+        F.col("meta.participantsRotated").alias("rotated"), F.col("meta.bookmakerFixtureId").alias("book_fixture"), "closed", "stale",
+        once(F.transform("quotes", offer)).alias("offers"),
+    )
+    joined = offered.join(definitions(definition_payloads), "market_id", "left").withColumn(
+        "three_way", is_three_way(F.col("definition"), F.col("rotated"))
+    )
+
+    def selection(one: Column) -> Column:
+        outcome = one["outcome"]
+        named = F.filter(F.col("definition.outcome_names"), lambda o: o["outcome_id"] == outcome)
+        label = F.coalesce(F.try_element_at(named, F.lit(-1))["name"], outcome.cast("string"))
+        kind = F.when(F.col("three_way"), lookup(_OUTCOME_TYPES, F.lower(F.trim(label))))
+        return F.struct(
+            one["source_id"].alias("source_id"),
+            label.alias("label"),
+            kind.alias("selection_type"),
+            F.when(kind == "home", F.col("home_id")).when(kind == "away", F.col("away_id")).alias("participant_source_id"),
+            F.lit(None).cast(PRICE).alias("line"),
+            one["price"].alias("price"),
+        )
+
+    built = joined.withColumn("selections", once(F.transform("offers", selection)))
     return built.select(
         F.col("source_market_id").alias("source_id"),
         "event_source_id",
@@ -328,7 +372,7 @@ def markets(odds_payloads: DataFrame, definition_payloads: DataFrame, slug: str)
         text_map(
             provider=F.lit(PROVIDER), bookmaker=F.lit(slug), provider_market_id=F.col("market_id"),
             bookmaker_market_id=F.when(F.col("source_market_id") != F.col("market_id").cast("string"), F.col("source_market_id")),
-            bookmaker_fixture_id=blank_to_null(F.col("meta.bookmakerFixtureId")),
+            bookmaker_fixture_id=blank_to_null(F.col("book_fixture")),
             skipped_quotes=F.col("skipped"),
             stale_odds=F.when(F.col("stale"), F.lit("true")),
         ).alias("metadata"),

@@ -76,11 +76,14 @@ def structural_prices(quotes: DataFrame, selections: DataFrame, markets: DataFra
     """
     kinds = structural.complete_markets(markets)
     listed = selections.select(F.col("id").alias("selection_id"), "market_id", "selection_type", "participant_id", "line")
-    sides = listed.join(kinds.select(F.col("id").alias("market_id"), "event_id", F.col("line").alias("market_line")), "market_id")
-    sides = structural.complete_selections(sides, event_participants).select("selection_id", "market_id", "selection_type", "participant_id", "effective_line")
+    named = [F.col(c).alias(f"key_{c}") for c in structural.MARKET_KEY]
+    sides = listed.join(kinds.select(F.col("id").alias("market_id"), "event_id", F.col("line").alias("market_line"), *named), "market_id")
+    # The market's key goes along with its sides, so markets are met once.
+    sides = structural.complete_selections(sides, event_participants).select(
+        "selection_id", *[F.col(f"key_{c}").alias(c) for c in structural.MARKET_KEY], "selection_type", "participant_id", "effective_line"
+    )
     latest = quotes.groupBy("bookmaker_id", "selection_id").agg(F.max_by(F.struct("decimal_odds", "is_available"), F.struct(*order)).alias("q"))
-    priced = latest.select("selection_id", F.col("bookmaker_id").alias("bookmaker"), "q.*").join(sides, "selection_id")
-    keyed = priced.join(kinds.select(F.col("id").alias("market_id"), *structural.MARKET_KEY), "market_id")
+    keyed = latest.select("selection_id", F.col("bookmaker_id").alias("bookmaker"), "q.*").join(sides, "selection_id")
     # Of one book's own outcomes with one meaning the best counts, so a book is counted once.
     outcome = [*structural.MARKET_KEY, "selection_type", "participant_id", "effective_line"]
     once = keyed.groupBy(*outcome, "bookmaker").agg(F.max(F.when(F.col("is_available"), F.col("decimal_odds"))).alias("decimal_odds")).withColumn("is_available", F.lit(True))
